@@ -23,3 +23,28 @@ def get_spark(app: str = "keyfold", cores: str = "*", shuffle_partitions: int =
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once for each application.
+
+    Spark's own file server distributes the archive, so no shared folder is needed.
+    """
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="keyfold-"), "keyfold.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"keyfold/{p.relative_to(root)}")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
