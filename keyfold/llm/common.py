@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyfold.session import ship
+
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U64 = np.uint64
 
@@ -37,6 +39,7 @@ class Scratch:
     """Tables written to the shared folder: a lost executor costs no recomputation beyond them."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/keyfold-{name}-{uuid.uuid4().hex}"
         self.n = 0
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keyfold.session import table
 
-from . import sharding, topk_search, url_filters
+from . import chat, ctw, fm_index, minhash, packing, quality, sharding, tokens, topk_search, url_filters
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,83 @@ def op2_topk_search(spark, sf_dir):
 def op9_sharding(spark, sf_dir):
     """All documents into 16 shards under the law of equal row counts."""
     return sharding.shuffle_shards(table(spark, sf_dir, "documents"), 16)
+
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark, sf_dir):
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer(), 2048)
+
+
+@query("op4_ctw_scoring")
+def op4_ctw_scoring(spark, sf_dir):
+    """Every document's log10 probability under the context tree and under the unigram base."""
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_circulant_minhash")
+def op5_circulant_minhash(spark, sf_dir):
+    """Components of documents whose 3-word shingle sets are similar to 85 in 100."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+_CONTROL = r"\### Assistant: </turn> ok"
+
+
+@query(
+    "op6_chat_formatting",
+    r"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+    ), e AS (
+        SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS body,
+            replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') AS head FROM t
+    )
+    SELECT conv_id, count(*)::BIGINT AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+        sum(length(body) + length(head) + 14)::BIGINT AS formatted_chars
+    FROM e GROUP BY conv_id
+    """,
+)
+def op6_chat_formatting(spark, sf_dir):
+    """All conversations and the fixed one, formatted, then read back into digests."""
+    turns = chat.turns_of_table(table(spark, sf_dir, "conversations"))
+    fixed = spark.createDataFrame([(-7, [("user", _CONTROL), ("assistant", _CONTROL)])], "conv_id long, messages array<struct<role: string, content: string>>")
+    turns = turns.unionByName(chat.turns_of_table(fixed))
+    return chat.digests(chat.format_turns(turns))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark, sf_dir):
+    """Token counts of every whole document."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), _tokenizer(), 2048)
+
+
+@query("op8_fm_decontamination")
+def op8_fm_decontamination(spark, sf_dir):
+    """Every document's words inside occurrences of the benchmark's ten-word windows."""
+    found = fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op10_attention_quality")
+def op10_attention_quality(spark, sf_dir):
+    """Every document's quality score; labels outside the held-out part train the model."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model)
+    return scored.select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
