@@ -24,17 +24,50 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_url_filters")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_OP1 = f"""
+WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '(?s)^([^/?#]*)', 1) AS raw FROM u),
+p AS (SELECT page_id, translate(raw, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '(?s)^([^?#]*)', 1) AS path FROM h),
+rules(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+m AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS said FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+parts AS (SELECT DISTINCT host, string_split(host, '.') AS s FROM p),
+k AS (SELECT host, CASE WHEN two THEN array_to_string(s[-3:], '.') ELSE array_to_string(s[-2:], '.') END AS domain, CASE WHEN two THEN array_to_string(s[-2:], '.') ELSE s[-1] END AS suffix
+      FROM (SELECT *, array_to_string(s[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz') AS two FROM parts)),
+c AS (SELECT host, domain, suffix, count(*) AS n, count(*) FILTER (quality = 1) AS good FROM p JOIN labels ON doc_id = page_id JOIN k USING (host) WHERE quality IS NOT NULL GROUP BY ALL),
+e AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean, sum(n) AS n, count(*) AS hosts, sum(n * n) AS squares FROM c),
+v AS (SELECT e.mean AS mean, e.mean * (1 - e.mean) AS noise, (SELECT sum(power(good - c.n * e.mean, 2) / c.n) FROM c) AS spread, e.n - squares / e.n - (hosts - 1) AS room, hosts FROM e),
+w AS (SELECT mean, CASE WHEN room > 0 AND spread - noise * (hosts - 1) > 0 THEN least(50.0, greatest(1.0, noise * room / (spread - noise * (hosts - 1)) - 1)) ELSE 50.0 END AS t FROM v),
+sx AS (SELECT suffix, (sum(good) + any_value(t) * any_value(mean)) / (sum(n) + any_value(t)) AS s_mean FROM c, w GROUP BY suffix),
+dx AS (SELECT domain, (sum(good) + any_value(t) * any_value(s_mean)) / (sum(n) + any_value(t)) AS d_mean FROM c JOIN sx USING (suffix), w GROUP BY domain),
+b AS (SELECT k.host, t, coalesce(n, 0) AS n, (coalesce(good, 0) + t * coalesce(d_mean, s_mean, mean)) / (coalesce(n, 0) + t) AS pm FROM k LEFT JOIN sx USING (suffix) LEFT JOIN dx USING (domain) LEFT JOIN c USING (host), w),
+z AS (SELECT host, round(pm, 6) AS posterior_mean, round(pm - 1.645 * sqrt(pm * (1 - pm) / (n + t + 1)), 6) AS bound FROM b)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, posterior_mean, bound
+FROM p JOIN z USING (host) LEFT JOIN m USING (page_id)
+"""
+
+
+@query("op1_url_filters", _OP1)
 def op1_url_filters(spark, sf_dir):
     """Every page's verdict; labelled outcomes are the rows of labels with the page's id."""
     pages = table(spark, sf_dir, "pages")
     labels = table(spark, sf_dir, "labels")
     host, _ = url_filters.split_url(F.col("url"))
     outcomes = pages.select("page_id", host.alias("host")).join(labels.select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).alias("good_page")), "page_id")
-    return url_filters.judge(pages, outcomes)
+    judged = url_filters.judge(pages, outcomes)
+    return judged.withColumns({c: F.round(c, 6) for c in ("posterior_mean", "bound")})
 
 
-@query("op2_topk_search")
+_OP2 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(list_zip(q.e, r.e), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q JOIN v r ON r.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, r::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10
+"""
+
+
+@query("op2_topk_search", _OP2)
 def op2_topk_search(spark, sf_dir):
     """The ten nearest rows by integer inner product of every row whose id is divisible by 100."""
     rows = topk_search.quantise(table(spark, sf_dir, "embeddings"))
@@ -110,7 +143,23 @@ def op7_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), _tokenizer(), 2048)
 
 
-@query("op8_fm_decontamination")
+_WORDS8 = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP8 = f"""
+WITH d AS (SELECT doc_id, {_WORDS8} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS8} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, w[i:i + least(10, len(w)) - 1] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+ls AS (SELECT DISTINCT len(win) AS n FROM bw),
+dw AS (SELECT doc_id, i, n, w[i:i + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ls WHERE len(w) >= n)),
+o AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (win)),
+h AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM o) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op8_fm_decontamination", _OP8)
 def op8_fm_decontamination(spark, sf_dir):
     """Every document's words inside occurrences of the benchmark's ten-word windows."""
     found = fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
