@@ -48,3 +48,15 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"keyfold/{p.relative_to(root)}")
     sc.addPyFile(archive)
     _SHIPPED.add(sc.applicationId)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; a temporary folder only where none is set."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="keyfold-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/keyfold-{name}-{uuid.uuid4().hex}"
