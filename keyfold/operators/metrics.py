@@ -19,20 +19,11 @@ def better_by(a: Column, c: Column, places: int = 6) -> Column:
     return F.round(100 - a / c * 100, places)
 
 
-def upper_median(x: str) -> Column:
-    """Element n div 2 of the sorted values.
-
-    Counted exactly by ``percentile`` over ranks: with n values it lies at rank
-    n div 2, so no list of values is collected.
-    """
-    return F.expr(f"element_at(sort_array(collect_list({x})), cast(count({x}) div 2 AS INT) + 1)")
-
-
 def profile(chunks: DataFrame, n: str = "n") -> DataFrame:
     """``tasks, most, mean, median, singletons`` of a table with one row for each task.
 
-    The median is read from the histogram of sizes, whose rows are the distinct
-    sizes; the mean is in whole numbers.
+    The median is element n div 2 of the sorted sizes, read from their histogram,
+    whose rows are the distinct sizes; the mean is in whole numbers.
     """
     sizes = chunks.groupBy(n).agg(F.count("*").alias("_c"))
     folded = sizes.agg(F.sum("_c").alias("tasks"), F.max(n).alias("most"), F.sum(F.col(n) * F.col("_c")).alias("_s"), F.sort_array(F.collect_list(F.struct(F.col(n).alias("v"), F.col("_c").alias("c")))).alias("_h"), F.coalesce(F.sum(F.when(F.col(n) == 1, F.col("_c"))), F.lit(0)).alias("singletons"))

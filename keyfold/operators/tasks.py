@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def chunk(df: DataFrame, key: str, order: Sequence[str], size: int) -> DataFrame:
+def chunk(df: DataFrame, key: str, size: int) -> DataFrame:
     """``key, chunk_index, nb_values``: a key's values cut into chunks of at most ``size``.
 
     Only sizes are asked for, so counting suffices: no key's rows meet in one task.

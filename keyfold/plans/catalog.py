@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyfold.functions import text as T
-from keyfold.operators import allocate, folds, metrics, tasks, timeline
+from keyfold.operators import allocate, extend, folds, metrics, tasks, timeline
 from keyfold.plans import jobs
 from keyfold.session import scratch_path, table
-from keyfold.sources import readers, sinks
+from keyfold.sources import generate, readers, sinks
 from keyfold.streaming import archive_stream
 
 QUERIES: dict = {}
@@ -351,7 +351,7 @@ def hash_partition(spark, d):
 
 @query("chunking", "SELECT l_suppkey, c AS chunk_index, count(*) AS nb_values FROM (SELECT l_suppkey, ((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1) // 50)::INT AS c FROM lineitem) GROUP BY ALL")
 def chunking(spark, d):
-    return tasks.chunk(table(spark, d, "lineitem"), "l_suppkey", ["l_orderkey", "l_linenumber"], 50)
+    return tasks.chunk(table(spark, d, "lineitem"), "l_suppkey", 50)
 
 
 # ---- task table, costs ----
@@ -467,7 +467,7 @@ def ownership_bundle_order(spark, d):
 
 @query("split_in_two", "WITH c AS (SELECT l_suppkey AS key, c, count(*) AS n FROM (SELECT l_suppkey, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1) // 50 AS c FROM lineitem) GROUP BY ALL) SELECT key, half, count(*) AS n_chunks, sum(n)::BIGINT AS nb_values FROM (SELECT *, ntile(2) OVER (PARTITION BY key ORDER BY c)::INT AS half FROM c) GROUP BY ALL")
 def split_in_two(spark, d):
-    chunks = tasks.chunk(table(spark, d, "lineitem"), "l_suppkey", ["l_orderkey"], 50)
+    chunks = tasks.chunk(table(spark, d, "lineitem"), "l_suppkey", 50)
     return tasks.split_in_two(chunks.withColumnRenamed("l_suppkey", "key"))
 
 
@@ -635,6 +635,38 @@ def list_difference(spark, d):
     return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").where("o_custkey % 3 = 0").select("o_custkey"))
 
 
+@query("reducer_series", "SELECT CAST(l_suppkey % 8 AS VARCHAR) || ' ' || CAST(sum(c) AS VARCHAR) || ' ' || string_agg(CAST(c AS VARCHAR), ' ' ORDER BY c DESC) AS line FROM (SELECT l_suppkey, count(*) AS c FROM lineitem GROUP BY l_suppkey) GROUP BY l_suppkey % 8")
+def reducer_series(spark, d):
+    """A line for each receiver: its number, its total and its tasks' sizes, largest first."""
+    s = _suppliers(spark, d).groupBy((F.col("l_suppkey") % NODES).alias("r")).agg(F.sum("c").alias("total"), F.sort_array(F.collect_list("c"), asc=False).alias("sizes"))
+    return s.select(F.concat_ws(" ", F.col("r").cast("string"), F.col("total").cast("string"), F.array_join(F.col("sizes").cast("array<string>"), " ")).alias("line"))
+
+
+@query("generate_uniform", "SELECT (i // 30)::INT AS k, count(*) AS n FROM range(0, 3000) t(i) GROUP BY ALL")
+def generate_uniform(spark, d):
+    return generate.uniform(spark, 100, 30).groupBy("k").agg(F.sum("v").alias("n"))
+
+
+@query("generate_leave_one_empty", "SELECT (k % 7 + 1)::INT AS reducer, count(*) * 3 AS n FROM range(0, 100) t(k) GROUP BY ALL")
+def generate_leave_one_empty(spark, d):
+    return generate.leave_one_empty(spark, 100, 3, 8).groupBy("reducer").agg(F.count("*").alias("n"))
+
+
+@query("generate_skewed")
+def generate_skewed(spark, d):
+    return generate.skewed(spark, 20_000, 200, 8, 8).groupBy("key").agg(F.count("*").alias("n"), F.min("val1").alias("lo"), F.max("val1").alias("hi"))
+
+
+_USER_WORDS = extend.UserJob(map=lambda line: ((w[0], len(w)) for w in line.split(" ") if w), neutral=lambda: (0, 0), fold=lambda s, v: (s[0] + v, s[1] + 1), merge=lambda a, b: (a[0] + b[0], a[1] + b[1]), post=lambda s: s[0] // s[1])
+
+
+@query("user_job", f"SELECT word[1] AS key, (sum(length(word))::BIGINT // count(*))::BIGINT AS result FROM {_WORDS} WHERE word <> '' GROUP BY ALL")
+def user_job(spark, d):
+    """A map function and a fold in Python: the whole mean length of words by first letter."""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    return extend.run(_USER_WORDS, lines)
+
+
 # ---- time ----
 
 

@@ -139,3 +139,25 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted(r["count"] for r in split.groupBy("split").count().collect()) == [6, 7, 7]
     assert readers.parse_config(["// c", "a : b", "x : y : z", "no colon"]) == {"a": "b", "x": "y"}
     assert readers.parse_addresses(["// c", "host 3", ""]) == [("host", 3)]
+
+
+def test_strategies_and_config(spark):
+    from keyfold.plans import strategies as st
+
+    t = spark.createDataFrame([("a", 0, 4), ("a", 1, 2), ("b", 1, 3)], "key string, owner int, nb_values bigint")
+    agents = spark.createDataFrame([(0,), (1,)], "agent int")
+    plain = sorted(map(tuple, st.cost_strategy("(multiplier, 1.1)")(t, agents).collect()))
+    assert plain == [("a", 6), ("b", 3)]
+    assert sorted(map(tuple, st.cost_strategy("(multiplier, 2)")(t, agents).collect())) == [("a", 0, 8), ("a", 1, 10), ("b", 0, 6), ("b", 1, 3)]
+    assert st.cost_strategy("(hardware, 1, 10, 5, 0, 2)")(t, agents).count() == 4
+    owned = spark.createDataFrame([("a", 0, 9), ("b", 0, 1), ("c", 1, 1)], "key string, owner int, cost bigint")
+    loads = owned.groupBy("owner").agg(F.sum("cost").alias("load"))
+    assert sorted(map(tuple, st.bundle_strategy("csdb")(owned, loads).collect())) == [(0, "a"), (1, "c")]
+    assert [tuple(r) for r in st.bundle_strategy("(k-eligible-small, 2)")(owned, loads).collect()] == [(0, "b", 1, 1, 1)]
+    assert st.bundle_strategy("csdb", 1.0)(owned, loads).count() == 0
+    for f, x in ((st.bundle_strategy, "naive"), (st.partition_strategy, "none")):
+        with pytest.raises(KeyError):
+            f(x)
+    c = st.RunConfig.parse(["nb-reducer : 3", "task-split : true", "threshold : 0.5", "other : 1"])
+    assert (c.nb_reducer, c.task_split, c.threshold, c.nb_mapper) == (3, True, 0.5, 8)
+    assert st.expand_sweep(["a : 1", "*b : 2, 3"]) == [{"a": "1", "b": "2"}, {"a": "1", "b": "3"}]
