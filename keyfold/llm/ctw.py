@@ -166,12 +166,12 @@ def _weigh_segments(source):
     """Rows (seg, grams, counts), sorted by segment: nodes of depths above 2 packed, and what depth 2 needs."""
     names = ["depth", "key", "n0", "n1", "below", "nodes"]
 
-    def done(keys, counts):
+    def done(seg, keys, counts):
         level = leaf_level(*_add_up(keys, counts))
         for d in range(DEPTH, 2, -1):
             top = np.argsort(-(level.n0 + level.n1), kind="stable")[:NODES]
-            blob = np.concatenate([level.key[top].view(np.uint8), level.p1[top].astype(np.float32).view(np.uint8), level.share[top].astype(np.float32).view(np.uint8), (level.n0 + level.n1)[top].astype(np.float32).view(np.uint8)])
-            yield pa.record_batch([pa.array([d], pa.int32()), pa.array([0], pa.int64()), *[pa.array([0.0])] * 3, pa.array([blob.tobytes()], pa.binary())], names=names)
+            blob = _place(level.key[top], level.p1[top], level.share[top], (level.n0 + level.n1)[top])
+            yield pa.record_batch([pa.array([d], pa.int32()), pa.array([seg], pa.int64()), *[pa.array([0.0])] * 3, pa.array([blob.tobytes()], pa.binary())], names=names)
             level = level.shorter(d - 1)
         n = len(level.key)
         if n:
@@ -181,7 +181,7 @@ def _weigh_segments(source):
     for b in source:
         for s, k, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
             if s != seg and keys:
-                yield from done(keys, counts)
+                yield from done(seg, keys, counts)
                 keys, counts, n = [], [], 0
             seg = s
             keys.append(np.frombuffer(k.as_py(), U64))
@@ -191,45 +191,80 @@ def _weigh_segments(source):
                 k1, c1 = _add_up(keys, counts)
                 keys, counts, n = [k1], [c1], len(k1)
     if keys:
-        yield from done(keys, counts)
+        yield from done(seg, keys, counts)
+
+
+#: Slots for each ten nodes (beside 256), ways to place a node, bytes of a slot.
+_ROOM, _WAYS, _SLOT = 14, 6, 10
+
+
+def _mark(key):
+    return np.maximum(mix(key ^ U64(0x5851F42D4C957F2D)) & U64(0xFFFF), U64(1)).astype(np.uint16)
+
+
+def _slot(key, way, size):
+    """A place in 0 .. size - 1 (size: a number or one for each key)."""
+    h = mix(key + U64(0x9E3779B97F4A7C15 * (way + 1) & (2**64 - 1))) >> U64(32)
+    return ((h * np.asarray(size, U64)) >> U64(32)).astype(np.int64)
+
+
+def _place(key, p1, share, weight) -> np.ndarray:
+    """A finished table of nodes as bytes: all marks (16 bits), then estimates, then shares (floats).
+
+    Every node has _WAYS places; the most frequent are placed last in a round and
+    win. One that finds no place counts as unseen.
+    """
+    n = 256 + len(key) * _ROOM // 10
+    mark, e, w = np.zeros(n, np.uint16), np.zeros(n, np.float32), np.zeros(n, np.float32)
+    left = np.argsort(weight, kind="stable")
+    owner = np.empty(n, np.int64)
+    for way in range(_WAYS):
+        slot = _slot(key[left], way, n)
+        free = mark[slot] == 0
+        at, who = slot[free], left[free]
+        owner[at] = who  # later writes win
+        won = owner[at] == who
+        put, at = who[won], at[won]
+        mark[at], e[at], w[at] = _mark(key[put]), p1[put], share[put]
+        stay = ~free
+        stay[np.flatnonzero(free)[~won]] = True
+        left = left[stay]
+        if not len(left):
+            break
+    return np.concatenate([mark.view(np.uint8), e.view(np.uint8), w.view(np.uint8)])
 
 
 class _Table:
-    """Nodes of one depth in two-choice open hashing; a node that finds no place counts as unseen."""
-
-    def __init__(self, key, p1, share, weight):
-        self.bits = max(8, int(2 * max(1, len(key)) - 1).bit_length())
-        n = 1 << self.bits
-        self.key, self.p1, self.share = np.full(n, np.iinfo(U64).max, U64), np.zeros(n, np.float32), np.zeros(n, np.float32)
-        order = np.argsort(weight, kind="stable")  # later writes win: the most frequent
-        for way in range(4):
-            if not len(order):
-                break
-            slot = self._slot(key[order], way)
-            free = self.key[slot] == np.iinfo(U64).max
-            put, at = order[free], slot[free]
-            self.key[at] = key[put]
-            mine = self.key[at] == key[put]
-            self.p1[at[mine]], self.share[at[mine]] = p1[put[mine]], share[put[mine]]
-            order = np.concatenate([order[~free], put[~mine]])
-            order = order[np.argsort(weight[order], kind="stable")]
-
-    def _slot(self, key, way):
-        return (mix(key + U64(0x9E3779B97F4A7C15 * (way + 1) & (2**64 - 1))) >> U64(64 - self.bits)).astype(np.int64)
-
-    def find(self, key):
+    """The nodes of one depth: finished tables of all segments, end to end."""
+
+    def __init__(self, blobs: dict[int, np.ndarray]):
+        """By segment; the shallow depths have one table, under segment 0, for all contexts."""
+        sizes = np.zeros(SEGMENTS, np.int64)
+        for s, b in blobs.items():
+            sizes[s] = len(b) // _SLOT
+        self.sizes, self.starts = sizes.astype(U64), np.cumsum(sizes) - sizes
+        n = int(sizes.sum())
+        self.mark, self.p1, self.share = np.zeros(n + 1, np.uint16), np.zeros(n + 1, np.float32), np.zeros(n + 1, np.float32)
+        for s, b in blobs.items():
+            k, at = int(sizes[s]), int(self.starts[s])
+            self.mark[at : at + k] = b[: 2 * k].view(np.uint16)
+            self.p1[at : at + k] = b[2 * k : 6 * k].view(np.float32)
+            self.share[at : at + k] = b[6 * k :].view(np.float32)
+
+    def find(self, key, segment):
         """Slots, and whether the node is there."""
-        slot = self._slot(key, 0)
-        there = self.key[slot] == key
-        for way in range(1, 4):
+        mark, start, size = _mark(key), self.starts[segment], self.sizes[segment]
+        slot = start + _slot(key, 0, size)
+        there = self.mark[slot] == mark
+        for way in range(1, _WAYS):
             missing = np.flatnonzero(~there)
             if not len(missing):
                 break
-            other = self._slot(key[missing], way)
-            hit = self.key[other] == key[missing]
+            other = start[missing] + _slot(key[missing], way, size[missing])
+            hit = self.mark[other] == mark[missing]
             slot[missing[hit]] = other[hit]
             there[missing[hit]] = True
-        return slot, there
+        return slot, there & (size > 0)
 
 
 class ContextTree:
@@ -246,12 +281,13 @@ class ContextTree:
         """
         out = np.zeros(len(g))
         byte = g & U64(255)
+        segment, whole = _segment(g), np.zeros(len(g), np.int32)
         for j in range(8):
             prefix = (byte >> U64(8 - j)) | U64(1 << j)
             p, seen = np.full(len(g), 0.5), np.zeros(len(g), bool)
             for d in range(len(self.tables) - 1, -1, -1):
                 t = self.tables[d]
-                slot, there = t.find((((g >> U64(8)) & U64((1 << (8 * d)) - 1)) << U64(8)) | prefix)
+                slot, there = t.find((((g >> U64(8)) & U64((1 << (8 * d)) - 1)) << U64(8)) | prefix, segment if d > 2 else whole)
                 p1, share = t.p1[slot].astype(np.float64), t.share[slot].astype(np.float64)
                 share = np.where(seen, share, 1.0)  # nothing longer is known: the context acts as a leaf
                 p = np.where(there, share * p1 + (1 - share) * p, p)
@@ -272,12 +308,11 @@ def train(texts: DataFrame, scratch: Scratch) -> ContextTree:
     levels = [_Level(col("key").astype(U64), col("n0"), col("n1"), col("below"))]
     levels.append(levels[-1].shorter(1))
     levels.append(levels[-1].shorter(0))
-    tables = [_Table(x.key, x.p1, x.share, x.n0 + x.n1) for x in reversed(levels)]
+    tables = [_Table({0: _place(x.key, x.p1, x.share, x.n0 + x.n1)}) for x in reversed(levels)]
     for d in range(3, DEPTH + 1):
-        blobs = [np.frombuffer(r[0], np.uint8) for r in nodes.where(F.col("depth") == d).select("nodes").collect()]  # SEGMENTS * NODES at most
-        parts = [(b[: len(b) // 20 * 8].view(U64), *(b[len(b) // 20 * s : len(b) // 20 * (s + 4)].view(np.float32) for s in (8, 12, 16))) for b in blobs]
-        joined = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, U64 if i == 0 else np.float32) for i in range(4)]
-        tables.append(_Table(*joined))
+        got = nodes.where(F.col("depth") == d).select("key", "nodes").toArrow()  # SEGMENTS * NODES at most
+        tables.append(_Table({k: np.frombuffer(x.as_buffer(), np.uint8) for k, x in zip(got.column(0).to_pylist(), got.column(1))}))
+        del got
     scratch.drop(nodes)
     return ContextTree(tables)
 
