@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from keyfold.session import ship
 
 from .common import Scratch, batches
-from .tokens import encoder, prove_whole
+from .tokens import encoder, prove_whole, text_groups
 
 #: Pieces of a packing group; a group's loss is a part of one bin.
 GROUP = 20_000
@@ -130,8 +130,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text",
     end = np.asarray([end_id], "<u4").tobytes()
 
     def rows(enc, b):
-        for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            buf = (enc.ids(t) if t else b"") + end
+        encoded = (ids for group in text_groups(b.column(1).to_pylist()) for ids in enc.encode_many(group))
+        for doc_id, buf in zip(b.column(0).to_pylist(), encoded):
+            buf += end
             n, view = len(buf) // 4, memoryview(buf)
             for p, s in enumerate(range(0, n, capacity)):
                 e = min(n, s + capacity)

@@ -12,6 +12,8 @@ What a piece between them counts is remembered, in a store of bounded size.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,11 +22,11 @@ from tokenizers import Tokenizer
 
 from keyfold.session import ship
 
-from .common import utf8
-
-#: Entries that a worker remembers, and the longest piece remembered.
-MEMO, LONGEST = 300_000, 64
-_TO_SPACE = str.maketrans("\n\t\r", "   ")
+#: Entries of a worker's stores, and bytes of pieces and ids in them.
+MEMO, HELD_BYTES = 1_000_000, 64_000_000
+#: Pieces cut here, and the pre-tokenizer's pattern for them (fixed values).
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
 
 
 def prove_whole(path: str) -> dict[str, int]:
@@ -59,64 +61,119 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class WholeTokenEncoder:
-    """Ids of whole texts as the library gives them, without added special tokens."""
+    """Ids of whole texts as the library gives them, without added special tokens.
+
+    Pieces new to the store are cut into pre-tokens. Proven ones have their id
+    at once; the others of a batch go through the library's merges together,
+    side by side, separated by spaces. Pieces of ASCII and Latin-1 letters, digits
+    and ASCII marks are cut here by the pre-tokenizer's pattern (no normalisation
+    changes them but lower case); any other piece is left to the library's own
+    normaliser and pre-tokenizer.
+    """
 
     def __init__(self, path: str, whole: dict[str, int]):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.whole = whole
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.ids_memo, self.count_memo = _Memo(self._ids), _Memo(self._count)
-
-    def _pre_tokens(self, piece: str) -> list[str] | None:
+        alphabet = _byte_alphabet()
+        self.proven = {bytes(alphabet[c] for c in form).decode(): np.asarray([i], "<u4").tobytes() for form, i in whole.items()}
+        self.by_form = {form: np.asarray([i], "<u4").tobytes() for form, i in whole.items()}
+        self.pieces: dict[str, bytes] = {}
+        self.pre_tokens: dict[str, bytes] = {}
+        self.held = 0
+
+    def _other(self, piece: str) -> bytes:
+        """A piece that only the library's own steps take apart."""
         if any(s in piece for s in self.special):
-            return None
-        return [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(piece))]
-
-    def _ids(self, piece: str) -> bytes:
-        pre = self._pre_tokens(piece)
-        if pre is None:
-            ids = self.tok.encode(piece, add_special_tokens=False).ids
-        else:
-            ids, whole, merge = [], self.whole, self.tok.model.tokenize
-            for p in pre:
-                if p in whole:
-                    ids.append(whole[p])
+            return np.asarray(self.tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        merge, out = self.tok.model.tokenize, []
+        for form, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(piece)):
+            out.append(self.by_form.get(form) or np.asarray([t.id for t in merge(form)], "<u4").tobytes())
+        return b"".join(out)
+
+    def _merge(self, pre_tokens: list[str]) -> None:
+        """Merges of unproven pre-tokens, all at once."""
+        for at in range(0, len(pre_tokens), 20_000):
+            part = pre_tokens[at : at + 20_000]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            ids, words = np.asarray(e.ids, "<u4").tobytes(), np.asarray(e.word_ids, np.int64)
+            ends = np.flatnonzero(np.diff(words, append=-1)) + 1
+            if len(ends) != len(part):
+                raise ValueError("a pre-token was cut again")
+            start = 0
+            for p, end in zip(part, (4 * ends).tolist()):
+                self.pre_tokens[p] = ids[start:end]
+                start = end
+
+    def _learn(self, new: list[str], special: bool) -> None:
+        """Ids of pieces that the store lacks; ``special``: special strings are somewhere in the texts."""
+        whole, cut, unknown = [], [], set()
+        proven, known, pieces, plain = self.proven, self.pre_tokens, self.pieces, _PLAIN.fullmatch
+        for piece in new:
+            if not plain(piece) or special and any(s in piece for s in self.special):
+                pieces[piece] = self._other(piece)
+                continue
+            low = piece.lower()
+            if low.isalpha():  # one pre-token
+                if low in proven:
+                    pieces[piece] = proven[low]
                 else:
-                    ids += [t.id for t in merge(p)]
-        return np.asarray(ids, "<u4").tobytes()
-
-    def _count(self, piece: str) -> int:
-        pre = self._pre_tokens(piece)
-        if pre is None:
-            return len(self.tok.encode(piece, add_special_tokens=False).ids)
-        whole, merge = self.whole, self.tok.model.tokenize
-        return sum(1 if p in whole else len(merge(p)) for p in pre)
+                    whole.append((piece, low))
+                    if low not in known:
+                        unknown.add(low)
+                continue
+            pre = (low[:-1], low[-1]) if low[:-1].isalpha() else _CUT.findall(low)  # a word and one mark or digit
+            cut.append((piece, pre))
+            for p in pre:
+                if p not in proven and p not in known:
+                    unknown.add(p)
+        self._merge(list(unknown))
+        for piece, low in whole:
+            pieces[piece] = known[low]
+        for piece, pre in cut:
+            pieces[piece] = b"".join([proven[p] if p in proven else known[p] for p in pre])
+        self.held += sum(map(len, new)) + sum(len(pieces[p]) for p in new)
+
+    def _cut(self, texts: list[str]) -> list[list[str]]:
+        if len(self.pieces) > MEMO or len(self.pre_tokens) > MEMO or self.held > HELD_BYTES:
+            self.pieces, self.pre_tokens, self.held = {}, {}, 0
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = set().union(*cut).difference(self.pieces)
+        if new:
+            self._learn(list(new), any(s in t for t in texts for s in self.special))
+        return cut
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        cut = self._cut(texts)
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
+    def count_many(self, texts: list[str]) -> list[int]:
+        """The number of each text's ids."""
+        cut = self._cut(texts)
+        get = self.pieces.__getitem__
+        return [sum(map(len, map(get, c))) // 4 for c in cut]
 
     def ids(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit numbers."""
-        return b"".join(map(self.ids_memo.__getitem__, text.translate(_TO_SPACE).split(" ")))
+        return self.encode_many([text])[0]
 
     def count(self, text: str) -> int:
-        """The number of the text's ids."""
-        return sum(map(self.count_memo.__getitem__, text.translate(_TO_SPACE).split(" ")))
-
+        return self.count_many([text])[0]
 
-class _Memo(dict):
-    """Remembers a function's results; starts again when it is full."""
 
-    def __init__(self, f):
-        super().__init__()
-        self.f = f
-
-    def __missing__(self, piece):
-        value = self.f(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = value
-        return value
+def text_groups(texts: list[str | None], size: int = 500_000):
+    """Lists of texts (null: empty) of about ``size`` characters; a longer text is one of its own."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t or "")
+        n += len(held[-1])
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 _ENCODERS: dict[str, WholeTokenEncoder] = {}
@@ -143,12 +200,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
     def run(source):
         enc = encoder(path, whole.value)
         for b in source:
-            counts = [enc.count(t) if t else 0 for t in b.column(1).to_pylist()]
-            n = np.asarray(counts, np.int64)
+            n = np.asarray([c for group in text_groups(b.column(1).to_pylist()) for c in enc.count_many(group)], np.int64)
             yield pa.record_batch([b.column(0), b.column(2), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     return slim.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
-
-__all__ = ["WholeTokenEncoder", "count_tokens", "encoder", "prove_whole", "utf8"]
