@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from keyfold.session import ship
 
-from .common import LOWER, batches, utf8
+from .common import LOWER, Scratch, batches, utf8
 
 #: Words of a shard (one longer document is a shard of its own), and every how many positions are sampled.
 SHARD_WORDS, SAMPLE = 1_500_000, 8
@@ -213,7 +213,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.
 _DDL = "doc_id long, n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<long>"
 
 
-def _searcher(phrases: Phrases, with_row: bool = False, row_schema: pa.Schema | None = None):
+def _searcher(phrases: Phrases):
     """mapInArrow function over (doc_id, text bytes): one row a document; spans in words."""
 
     def flush(held):
@@ -270,8 +270,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(blocks[0], width))  # bounded by BENCH_BYTES
         return slim.mapInArrow(lambda source: _searcher(phrases.value)(source), _DDL)
     slim = slim.withColumn("row", F.monotonically_increasing_id())
-    from .common import Scratch
-
     slim = Scratch(docs.sparkSession, "decontamination").save(slim)
     found = None
     for block in blocks:
