@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.session import ship
 
-from .common import utf8
+from .common import U64, mix, utf8
 
 #: Words of a passage, most labelled documents that training uses, hashed shape features.
 PASSAGE, TRAIN_ROWS, SHAPES = 48, 4096, 16
@@ -26,58 +25,83 @@ N_FEATURES = _N_WORD + 4
 _WORDS_KEPT = 200_000
 
 
-def _word_features(w: bytes) -> np.ndarray:
-    """Counts of one word: letters by kind, marks, and signed hashes of its shape."""
-    out = np.zeros(_N_WORD, np.float32)
-    a = np.frombuffer(w, np.uint8)
-    upper, lower = (a >= 65) & (a <= 90), (a >= 97) & (a <= 122)
-    digit, wide = (a >= 48) & (a <= 57), a >= 128
-    mark = ~(upper | lower | digit | wide)
-    n = len(a)
-    out[0] = min(n, 40) / 8
-    out[1], out[2], out[3], out[4] = upper.mean(), lower.mean(), digit.mean(), wide.mean()
-    out[5] = mark.mean()
-    out[6] = float(upper.sum() > 1 and not lower.any())
-    out[7] = float(bool(upper[0]))
-    out[8] = float(mark.all())
-    out[9] = float(mark[-1])
-    for i, m in enumerate(MARKS):
-        out[10 + i] = min(3, w.count(m)) / 3
-    kinds = np.where(upper, 65, np.where(lower | wide, 97, np.where(digit, 48, a))).astype(np.uint8)
-    shape = kinds[np.concatenate([[True], kinds[1:] != kinds[:-1]])][:12].tobytes()
-    h = xxhash.xxh3_64_intdigest(shape)
-    out[10 + len(MARKS) + h % SHAPES] = 1.0 if (h >> 32) & 1 else -1.0
+#: Kinds of bytes: upper, lower, digit, outside ASCII, other mark, then MARKS.
+_KINDS = 5 + len(MARKS)
+_KIND = np.full(256, 4, np.uint8)
+_KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = 0, 1, 2, 3
+_KIND[np.frombuffer(MARKS, np.uint8)] = np.arange(5, _KINDS)
+#: Multipliers of a shape's places.
+_PLACES = mix(np.arange(1, 13, dtype=U64)) | U64(1)
+
+
+def word_features(words: list[bytes]) -> np.ndarray:
+    """One row for each word: letters by kind, marks, and a signed hash of its shape (runs of kinds)."""
+    n = len(words)
+    out = np.zeros((n, _N_WORD), np.float32)
+    kind = _KIND[np.frombuffer(b"".join(words), np.uint8)]
+    size = np.fromiter(map(len, words), np.int64, n)
+    start, who = np.cumsum(size) - size, np.repeat(np.arange(n), size)
+    counts = np.bincount(who * _KINDS + kind, minlength=n * _KINDS).reshape(n, _KINDS).astype(np.float32)
+    marks = counts[:, 4:].sum(1)
+    out[:, 0] = np.minimum(size, 40) / 8
+    out[:, 1:5] = counts[:, :4] / size[:, None]
+    out[:, 5] = marks / size
+    out[:, 6] = (counts[:, 0] > 1) & (counts[:, 1] == 0)
+    out[:, 7] = kind[start] == 0
+    out[:, 8] = marks == size
+    out[:, 9] = kind[start + size - 1] >= 4
+    out[:, 10 : 10 + len(MARKS)] = np.minimum(counts[:, 5:], 3) / 3
+    coarse = np.where(kind == 3, 1, kind).astype(U64)
+    first = np.ones(len(coarse), bool)
+    first[1:] = coarse[1:] != coarse[:-1]
+    first[start] = True
+    place = np.cumsum(first)
+    place -= np.repeat(place[start], size)
+    h = mix(np.add.reduceat(np.where(first & (place < 12), (coarse + U64(1)) * _PLACES[np.minimum(place, 11)], U64(0)), start))
+    out[np.arange(n), 10 + len(MARKS) + (h % U64(SHAPES)).astype(np.int64)] = np.where((h >> U64(32)) & U64(1), 1.0, -1.0)
     return out
 
 
-class _WordTable(dict):
-    """Row numbers of words in a growing matrix of features; starts again when full."""
+class _WordTable:
+    """Features of words seen; starts again when full."""
 
     def __init__(self):
-        super().__init__()
-        self.rows = np.empty((4096, _N_WORD), np.float32)
-
-    def __missing__(self, w: bytes) -> int:
-        i = len(self)
-        if i >= len(self.rows):
+        self.at: dict[bytes, int] = {}
+        self.rows = np.empty((16_384, _N_WORD), np.float32)
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Makes sure that all words of these texts are there."""
+        if len(self.at) > _WORDS_KEPT:
+            self.at = {}
+        new = list(set().union(*texts).difference(self.at))
+        n = len(self.at)
+        while n + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[i] = _word_features(w)
-        self[w] = i
-        return i
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            self.rows[n + i : n + i + len(part)] = word_features(part)
+        self.at.update(zip(new, range(n, n + len(new))))
 
 
 _TABLE = _WordTable()
 
 
+def encode_many(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Each text's passages: one row of features for each; a text without words is one passage of zeros."""
+    cut = [t.split() if t else [] for t in texts]
+    _TABLE.learn(cut)
+    return [_encode(w) for w in cut]
+
+
 def encode_passages(data: bytes | None) -> np.ndarray:
-    """One row of features for each passage; a text without words is one passage of zeros."""
-    global _TABLE
-    w = data.split() if data else []
+    """The passages of one text."""
+    return encode_many([data])[0]
+
+
+def _encode(w: list[bytes]) -> np.ndarray:
     if not w:
         return np.zeros((1, N_FEATURES), np.float32)
-    if len(_TABLE) > _WORDS_KEPT:
-        _TABLE = _WordTable()
-    idx = np.fromiter(map(_TABLE.__getitem__, w), np.int64, len(w))
+    idx = np.fromiter(map(_TABLE.at.__getitem__, w), np.int64, len(w))
     starts = np.arange(0, len(w), PASSAGE)
     n = np.diff(np.append(starts, len(w))).astype(np.float32)
     out = np.empty((len(starts), N_FEATURES), np.float32)
@@ -181,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
 
     def run(source):
         for b in source:
-            bags = [encode_passages(x.as_py()) for x in b.column(1)]
+            bags = [bag for at in range(0, b.num_rows, 256) for bag in encode_many(b.column(1).slice(at, 256).to_pylist())]
             yield pa.record_batch([b.column(0), b.column(2), pa.array([x.tobytes() for x in bags], pa.binary())], names=["k", "y", "bag"])
 
     got = picked.select(F.col("_k").cast("long"), "data", "y").mapInArrow(run, "k long, y int, bag binary").toArrow()
@@ -203,9 +227,9 @@ def score_documents(docs: DataFrame, model: AttentionMIL, text: str = "text", co
 
     def run(source):
         for b in source:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                bags = [encode_passages(x.as_py()) for x in part.column(0)]
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                bags = encode_many(part.column(0).to_pylist())
                 starts = np.concatenate([[0], np.cumsum([len(x) for x in bags])[:-1]]).astype(np.int64)
                 score = held.value.score(np.concatenate(bags).astype(np.float64), starts)
                 yield pa.record_batch([*part.columns[1:], pa.array(score)], names=[*part.schema.names[1:], "score"])
