@@ -90,7 +90,7 @@ def _archive(spark, d):
     return table(spark, d, "events").select(F.col("event_type").alias("id"), timeline.millis("ts").alias("ts"), F.floor(F.col("value") * 100 + 0.5).cast("bigint").alias("value"), F.col("event_id").alias("seq"))
 
 
-_ARCHIVE = "(SELECT event_type AS id, epoch_ms(ts) AS ts, floor(value * 100 + 0.5)::BIGINT AS value, event_id AS seq FROM events)"
+_ARCHIVE = "(SELECT event_type AS id, epoch_us(ts) // 1000 AS ts, floor(value * 100 + 0.5)::BIGINT AS value, event_id AS seq FROM events)"
 _CELLS = f"a AS {_ARCHIVE}, lim AS (SELECT min(ts) AS s, max(ts) AS l FROM a), b AS (SELECT a.*, greatest(0, ceil((ts - s) / {DAY}.0)::BIGINT) AS bucket FROM a, lim), grid AS (SELECT unnest(range(0, ((l + {DAY} - s) // {DAY})::BIGINT + 1)) AS bucket FROM lim)"
 
 # ---- words, folds and jobs ----
@@ -575,7 +575,7 @@ def contribution_fairness(spark, d):
     return _suppliers(spark, d).agg(metrics.ratio("c").alias("fairness"))
 
 
-@query("time_fairness", "SELECT round(min(t) / max(t), 6) AS fairness, arg_min(u, {'t': t, 'u': u}) AS fastest, arg_max(u, {'t': t, 'u': u}) AS slowest FROM (SELECT user_id AS u, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS t FROM events GROUP BY user_id HAVING count(*) > 1)")
+@query("time_fairness", "SELECT round(min(t) / max(t), 6) AS fairness, arg_min(u, {'t': t, 'u': u}) AS fastest, arg_max(u, {'t': t, 'u': u}) AS slowest FROM (SELECT user_id AS u, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS t FROM events GROUP BY user_id HAVING count(*) > 1)")
 def time_fairness(spark, d):
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("u")).agg((F.max(timeline.millis("ts")) - F.min(timeline.millis("ts"))).alias("t"), F.count("*").alias("n")).where("n > 1")
     return e.agg(metrics.ratio("t").alias("fairness"), F.min_by("u", F.struct("t", "u")).alias("fastest"), F.max_by("u", F.struct("t", "u")).alias("slowest"))
