@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from keyfold.llm import fm_index, minhash, packing, quality
-from keyfold.llm.common import Scratch
+from keyfold.llm.common import Scratch, may_hold
 from keyfold.session import table
 
 #: A document goes if its quality score is lower.
@@ -26,12 +26,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat a key, one stays as well; documents without a key or
     without words are in no group and all stay.
     """
-    found = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    keyed = docs.where("doc_id is not null")
-    empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-    staying = keyed.where(~empty).join(found, "doc_id", "left_semi").select(*docs.columns)
-    once = staying.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
-    return once.unionByName(keyed.where(empty)).unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(spark, "near_dedup")
+    decided = scratch.save(minhash.near_duplicates(docs).where("doc_id is not null"))
+    by_key = decided.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("least"), F.max("kept").alias("_stays"))
+    doubtful = scratch.save(by_key.where("n > 1 or not least").select("doc_id", "_stays"))  # keys that go or repeat
+    in_no_group = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    suspect = may_hold(doubtful, "doc_id")(F.col("doc_id"))
+    # whole texts are shuffled only where the key may be one of those
+    rest = docs.where(~in_no_group & suspect).join(doubtful, "doc_id", "left").where(F.coalesce("_stays", F.lit(True))).select(*docs.columns)
+    once = rest.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return docs.where(in_no_group | ~suspect).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,17 +5,40 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.session import ship
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U64 = np.uint64
+#: Bits of a key filter: 8 MB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+#: Documents of an Arrow batch.
+BATCH_ROWS = 2_500
+
+_STORES: dict[str, Callable[[], None]] = {}
+_IN_USE = [""]
+
+
+def store(name: str, clear: Callable[[], None]) -> None:
+    """Names a worker's store of words or pieces, and how to empty it."""
+    _STORES[name] = clear
+
+
+def only(name: str) -> None:
+    """Empties every other store: a worker that goes on to another operator keeps nothing of the last one."""
+    if _IN_USE[0] != name:
+        _IN_USE[0] = name
+        for other, clear in _STORES.items():
+            if other != name:
+                clear()
+        pa.default_memory_pool().release_unused()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,11 +58,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
         p.getFileSystem(hadoop).delete(p, True)
 
 
+def ready(spark: SparkSession) -> None:
+    """Gives the workers this package, and Arrow batches that suit documents.
+
+    Spark's default of 10,000 rows a batch is for narrow rows; it is lowered to
+    BATCH_ROWS unless the session has a setting of its own.
+    """
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder: a lost executor costs no recomputation beyond them."""
 
     def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
+        ready(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/keyfold-{name}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -94,3 +129,34 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def utf8(column: str = "text"):
     """The UTF-8 bytes of a string column; null stays null."""
     return F.col(column).cast("binary")
+
+
+def may_hold(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test for long columns: false only where the value is surely none of ``keys``; null passes.
+
+    A Bloom filter of FILTER_BITS, set in parts of 4 KB on the executors and then
+    broadcast. It thins out the rows before an exact join and replaces none: the
+    more keys, the more rows pass, and beyond one key for two bits all do.
+    ``keys`` is a written table, read twice.
+    """
+    spark = keys.sparkSession
+    if 2 * keys.count() > FILTER_BITS:
+        return lambda _: F.lit(True)
+    h = F.xxhash64(F.col(column).cast("long"))
+    places = F.explode(F.array(h.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(FILTER_BITS - 1))))
+    placed = keys.select(places.alias("at")).withColumn("at", F.col("at") + 1)
+    parts = placed.select(F.bitmap_bucket_number("at").alias("part"), F.bitmap_bit_position("at").alias("bit")).repartition("part")
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for part, data in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # FILTER_BITS at most
+        bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(bytes(data), np.uint8)
+    held = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        found, all_bits = hashes.to_numpy(np.int64).view(np.uint64), held.value
+        ok = np.ones(len(found), bool)
+        for at in (found & U64(FILTER_BITS - 1), (found >> U64(32)) & U64(FILTER_BITS - 1)):
+            ok &= (all_bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 > 0
+        return pd.Series(ok)
+
+    return lambda value: value.isNull() | test(F.xxhash64(value.cast("long")))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix, utf8, words
+from .common import U64, Scratch, may_hold, mix, only, store, utf8, words
 from .components import connected
 
 #: Coordinates, bands (of COORDS / BANDS rows) and the universe of the permutations.
@@ -31,7 +31,7 @@ COORDS, BANDS, UNIVERSE_BITS = 128, 32, 20
 #: Members verified against a copy of a hub's text; documents of a block in the later steps.
 HUB_BLOCK, SIG_BLOCK, LEFT_BLOCK, RIGHT_BLOCK = 64, 512, 128, 256
 _P = U64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 200_000
 
 
 class _WordHash(dict):
@@ -45,6 +45,7 @@ class _WordHash(dict):
 
 
 _HASHES = _WordHash()
+store("minhash", _HASHES.clear)
 
 
 def shingle_set(data: bytes | None, width: int) -> np.ndarray:
@@ -110,6 +111,7 @@ def _minhash(*key) -> CirculantMinHash:
 
 def _signer(width: int):
     def run(source):
+        only("minhash")
         mh = _minhash(COORDS, BANDS, UNIVERSE_BITS, 1)
         for b in source:
             for at in range(0, b.num_rows, 1024):
@@ -176,6 +178,7 @@ def _verify_hub(width: int, percent: int):
     """Rows (hub, block, c, data): links of each c to its hub."""
 
     def run(source):
+        only("minhash")
         for (hub, _), rows in _units(source, 2):
             by = dict(rows)
             ids = list(by)
@@ -236,6 +239,7 @@ def _verify_blocks(width: int, percent: int):
     """Rows (cluster, i, j, left, c, comp, data): links between components of a cluster."""
 
     def run(source):
+        only("minhash")
         for _, rows in _units(source, 3):
             sides: dict[int, list] = {}
             for left, c, comp, data in rows:
@@ -293,10 +297,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     hubs = banded.groupBy("bucket").agg(F.min("c").alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
     members = scratch.save(banded.join(hubs, "bucket"))
     candidates = members.select("c").distinct()
-    # the texts of the candidates, read once more: a class is found by key and text
+    # the texts of the candidates, read once more: a class is found by key and text;
+    # texts that are surely no candidate's stay where they are
     wanted = scratch.save(reps.join(candidates, "c").select("c", F.col("doc_id").alias("k"), F.col("th").alias("t"), "sig"))
     sigs, wanted = wanted.select("c", "sig"), wanted.drop("sig")
-    again = slim.where("data is not null").withColumn("th", th)
+    again = slim.where("data is not null").where(may_hold(wanted, "k")(F.col("doc_id"))).withColumn("th", th)
     texts = scratch.save(again.join(wanted, again["doc_id"].eqNullSafe(wanted["k"]) & (again["th"] == wanted["t"])).select("c", "data"))
 
     # 1: each class against the hub that it shares most bands with
