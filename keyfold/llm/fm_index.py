@@ -19,9 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.session import ship
-
-from .common import LOWER, Scratch, batches, utf8
+from .common import LOWER, Scratch, batches, only, ready, utf8
 
 #: Words of a shard (one longer document is a shard of its own), and every how many positions are sampled.
 SHARD_WORDS, SAMPLE = 1_500_000, 8
@@ -169,6 +167,7 @@ class Phrases:
 
 def find_in_shard(docs: list[tuple[int, list[bytes] | np.ndarray]], phrases: Phrases) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set]]:
     """Merged word spans [from, to) and items, by document number, of one shard."""
+    only("fm_index")
     parts, places, owner = [], [], []
     for d, sym in docs:
         # runs of terminators shrink to one; places lead back to the words
@@ -263,7 +262,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
     benchmark beyond BENCH_BYTES is searched block after block, each in a pass
     over the documents, and the spans are merged.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("data"))
     blocks = _blocks(benchmark, "item_id", "text")
     if len(blocks) == 1:
@@ -311,7 +310,7 @@ def clean_texts(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: st
     where the texts are. Rows without a hit, null texts included, are unchanged.
     A benchmark beyond BENCH_BYTES is cut out block after block.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     columns, schema = docs.columns, docs.schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     at = columns.index(text)

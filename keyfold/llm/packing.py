@@ -17,9 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.session import ship
-
-from .common import Scratch, batches
+from .common import Scratch, batches, ready
 from .tokens import encoder, prove_whole, text_groups
 
 #: Pieces of a packing group; a group's loss is a part of one bin.
@@ -125,7 +123,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", key: str = "doc_id", end_id: int = 0) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every row's ids followed by ``end_id``."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     whole = docs.sparkSession.sparkContext.broadcast(prove_whole(path))
     end = np.asarray([end_id], "<u4").tobytes()
 

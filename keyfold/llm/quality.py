@@ -12,9 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.session import ship
-
-from .common import U64, mix, utf8
+from .common import U64, mix, only, ready, store, utf8
 
 #: Words of a passage, most labelled documents that training uses, hashed shape features.
 PASSAGE, TRAIN_ROWS, SHAPES = 48, 4096, 16
@@ -22,7 +20,7 @@ PASSAGE, TRAIN_ROWS, SHAPES = 48, 4096, 16
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]_{|}~"
 _N_WORD = 10 + len(MARKS) + SHAPES
 N_FEATURES = _N_WORD + 4
-_WORDS_KEPT = 200_000
+_WORDS_KEPT = 60_000
 
 
 #: Kinds of bytes: upper, lower, digit, outside ASCII, other mark, then MARKS.
@@ -72,7 +70,7 @@ class _WordTable:
     def learn(self, texts: list[list[bytes]]) -> None:
         """Makes sure that all words of these texts are there."""
         if len(self.at) > _WORDS_KEPT:
-            self.at = {}
+            self.__init__()
         new = list(set().union(*texts).difference(self.at))
         n = len(self.at)
         while n + len(new) > len(self.rows):
@@ -84,10 +82,12 @@ class _WordTable:
 
 
 _TABLE = _WordTable()
+store("quality", _TABLE.__init__)
 
 
 def encode_many(texts: list[bytes | None]) -> list[np.ndarray]:
     """Each text's passages: one row of features for each; a text without words is one passage of zeros."""
+    only("quality")
     cut = [t.split() if t else [] for t in texts]
     _TABLE.learn(cut)
     return [_encode(w) for w in cut]
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
     one key the lower counts. Only ``text`` is an input. Without any labelled
     document every score is one half.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     chosen = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull() & ~is_held_out(F.col(key))).groupBy(F.col(key).alias("_k")).agg((F.min("quality") > 0).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("_k"), "_k").limit(rows)
     picked = docs.select(F.col(key).alias("_k"), utf8(text).alias("data")).join(F.broadcast(chosen), "_k")  # ``rows`` rows at most
@@ -220,7 +220,7 @@ def score_documents(docs: DataFrame, model: AttentionMIL, text: str = "text", co
     Null and empty texts are one passage of zeros and get a score, too. Repeated
     rows and null keys are scored like others; an empty table gives no rows.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
     slim = docs.select(utf8(text).alias("_data"), *columns)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:])

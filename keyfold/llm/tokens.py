@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keyfold.session import ship
+from .common import only, ready, store
 
 #: Entries of a worker's stores, and bytes of pieces and ids in them.
-MEMO, HELD_BYTES = 1_000_000, 64_000_000
+MEMO, HELD_BYTES = 400_000, 32_000_000
 #: Pieces cut here, and the pre-tokenizer's pattern for them (fixed values).
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
@@ -177,10 +177,12 @@ def text_groups(texts: list[str | None], size: int = 500_000):
 
 
 _ENCODERS: dict[str, WholeTokenEncoder] = {}
+store("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str, whole: dict[str, int]) -> WholeTokenEncoder:
     """One encoder for each worker process and vocabulary."""
+    only("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = WholeTokenEncoder(path, whole)
     return _ENCODERS[path]
@@ -194,7 +196,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
     columns are ignored; an empty table gives no rows. There is no shuffle, and
     a worker holds one Arrow batch, the proven table and the bounded store.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     whole = docs.sparkSession.sparkContext.broadcast(prove_whole(path))  # at most the vocabulary
 
     def run(source):
