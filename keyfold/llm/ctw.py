@@ -8,9 +8,10 @@ The share that mixing leaves to a context's own estimate is what the trained
 tree predicts with; all shares along the path give the probability of a bit.
 
 Counts come from all training texts: distinct (context, byte) strings are
-counted where the texts are, gathered by segments of contexts, weighted there
-bottom-up, and the tree's nodes (at most SEGMENTS * NODES for each depth, the
-most frequent of a segment first) are sent to the scoring workers.
+counted where the texts are, gathered by segments of contexts and weighted there
+bottom-up. Each distinct string, held-out ones included, is scored once, in its
+segment, by all nodes of the tree. The most frequent strings' scores are sent to
+the workers that add them up by document; the rest are joined.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, Scratch, batches, mix, utf8
 
-#: Context bytes; segments of contexts; most nodes of a segment and depth.
-DEPTH, SEGMENTS, NODES = 5, 256, 16_384
+#: Context bytes; segments of contexts; strings of a segment whose scores are sent to the workers.
+DEPTH, SEGMENTS, SENT = 5, 256, 16_384
 #: Words whose counts are sent to the workers; the rest are joined.
 HEAVY, HEAVY_BYTES = 65_536, 256
 _CHUNK = 4_000_000
@@ -52,14 +53,8 @@ def _grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarr
     return g, sizes
 
 
-def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    if not len(k):
-        return k, c
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[first], np.add.reduceat(c, first)
+def _add_up(keys: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    return _sum_nodes(np.concatenate(keys), *(np.concatenate(c) for c in counts))
 
 
 def _segment(g: np.ndarray) -> np.ndarray:
@@ -81,32 +76,39 @@ def _text_groups(column, size: int):
 
 
 def _count_grams(source):
-    keys, counts, n = [], [], 0
+    """Rows (held_out, data): distinct strings by segment, how often in training texts and in all."""
+    keys, train, every, n = [], [], [], 0
     for b in source:
-        for texts in _text_groups(b.column(0), _CHUNK):
-            k, c = np.unique(_grams(texts)[0], return_counts=True)
+        at, outs = 0, np.array(b.column(0).to_pylist(), bool)
+        for texts in _text_groups(b.column(1), _CHUNK):
+            g, sizes = _grams(texts)
+            held = np.repeat(outs[at : at + len(texts)], sizes)
+            at += len(texts)
+            g, c = np.unique(g << U64(1) | held.astype(U64), return_counts=True)
+            k, t, e = _sum_nodes(g >> U64(1), np.where(g & U64(1), 0, c), c)
             keys.append(k)
-            counts.append(c.astype(np.int64))
+            train.append(t)
+            every.append(e)
             n += len(k)
             if n > 2 * _CHUNK:
-                k, c = _add_up(keys, counts)
-                keys, counts, n = [k], [c], len(k)
+                k, t, e = _add_up(keys, train, every)
+                keys, train, every, n = [k], [t], [e], len(k)
                 if n > _CHUNK:
-                    yield from _by_segment(k, c)
-                    keys, counts, n = [], [], 0
+                    yield from _by_segment(k, t, e)
+                    keys, train, every, n = [], [], [], 0
     if keys:
-        yield from _by_segment(*_add_up(keys, counts))
+        yield from _by_segment(*_add_up(keys, train, every))
 
 
-def _by_segment(k, c):
+def _by_segment(k, *counts):
     seg = _segment(k)
     order = np.argsort(seg, kind="stable")
-    seg, k, c = seg[order], k[order], c[order]
+    seg, columns = seg[order], [x[order] for x in (k, *counts)]
     first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
     last = np.append(first[1:], len(seg))
     for at in range(0, len(first), 64):
         part = list(zip(first[at : at + 64], last[at : at + 64]))
-        yield pa.record_batch([pa.array(seg[[a for a, _ in part]]), pa.array([k[a:b].tobytes() for a, b in part], pa.binary()), pa.array([c[a:b].tobytes() for a, b in part], pa.binary())], names=["seg", "grams", "counts"])
+        yield pa.record_batch([pa.array(seg[[a for a, _ in part]]), *[pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in columns]], names=["seg", "grams", "train", "every"])
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -162,113 +164,63 @@ def leaf_level(g: np.ndarray, c: np.ndarray) -> _Level:
     return _Level(*_sum_nodes(np.concatenate(keys), np.concatenate(n0), np.concatenate(n1)))
 
 
+def _levels(grams, train) -> list[_Level]:
+    """Depths DEPTH to 2 of one segment's strings; depth 2 still lacks what other segments add to it."""
+    seen = train > 0
+    levels = [leaf_level(grams[seen], train[seen])]
+    for d in range(DEPTH - 1, 1, -1):
+        levels.append(levels[-1].shorter(d))
+    return levels
+
+
+_SEGMENT_DDL = "key long, n0 double, n1 double, below double, grams binary, train binary, every binary"
+
+
 def _weigh_segments(source):
-    """Rows (seg, grams, counts), sorted by segment: nodes of depths above 2 packed, and what depth 2 needs."""
-    names = ["depth", "key", "n0", "n1", "below", "nodes"]
-
-    def done(seg, keys, counts):
-        level = leaf_level(*_add_up(keys, counts))
-        for d in range(DEPTH, 2, -1):
-            top = np.argsort(-(level.n0 + level.n1), kind="stable")[:NODES]
-            blob = _place(level.key[top], level.p1[top], level.share[top], (level.n0 + level.n1)[top])
-            yield pa.record_batch([pa.array([d], pa.int32()), pa.array([seg], pa.int64()), *[pa.array([0.0])] * 3, pa.array([blob.tobytes()], pa.binary())], names=names)
-            level = level.shorter(d - 1)
+    """Rows of _by_segment, sorted by segment: a row of all strings of each, and rows of what depth 2 needs."""
+    names = ["key", "n0", "n1", "below", "grams", "train", "every"]
+
+    def done(parts):
+        columns = _add_up(*parts)
+        yield pa.record_batch([pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.float64())] * 3, *[pa.array([x.tobytes()], pa.binary()) for x in columns]], names=names)
+        level = _levels(*columns[:2])[-1]
         n = len(level.key)
         if n:
-            yield pa.record_batch([pa.array(np.full(n, 2, np.int32)), pa.array(level.key.astype(np.int64)), pa.array(level.n0), pa.array(level.n1), pa.array(level.below), pa.nulls(n, pa.binary())], names=names)
+            yield pa.record_batch([pa.array(level.key.astype(np.int64)), pa.array(level.n0), pa.array(level.n1), pa.array(level.below), *[pa.nulls(n, pa.binary())] * 3], names=names)
 
-    seg, keys, counts, n = None, [], [], 0
+    seg, parts, n = None, ([], [], []), 0
     for b in source:
-        for s, k, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-            if s != seg and keys:
-                yield from done(seg, keys, counts)
-                keys, counts, n = [], [], 0
+        for s, *blobs in zip(b.column(0).to_pylist(), *(b.column(i) for i in (1, 2, 3))):
+            if s != seg and n:
+                yield from done(parts)
+                parts, n = ([], [], []), 0
             seg = s
-            keys.append(np.frombuffer(k.as_py(), U64))
-            counts.append(np.frombuffer(c.as_py(), np.int64))
-            n += len(keys[-1])
+            for held, x, kind in zip(parts, blobs, (U64, np.int64, np.int64)):
+                held.append(np.frombuffer(x.as_py(), kind))
+            n += len(parts[0][-1])
             if n > 2 * _CHUNK:  # what many parts have in common is added up on the way
-                k1, c1 = _add_up(keys, counts)
-                keys, counts, n = [k1], [c1], len(k1)
-    if keys:
-        yield from done(seg, keys, counts)
-
-
-#: Slots for each ten nodes (beside 256), ways to place a node, bytes of a slot.
-_ROOM, _WAYS, _SLOT = 14, 6, 10
-
+                parts = tuple([x] for x in _add_up(*parts))
+                n = len(parts[0][0])
+    if n:
+        yield from done(parts)
 
-def _mark(key):
-    return np.maximum(mix(key ^ U64(0x5851F42D4C957F2D)) & U64(0xFFFF), U64(1)).astype(np.uint16)
 
+class _Table:
+    """The nodes of one depth, by key."""
 
-def _slot(key, way, size):
-    """A place in 0 .. size - 1 (size: a number or one for each key)."""
-    h = mix(key + U64(0x9E3779B97F4A7C15 * (way + 1) & (2**64 - 1))) >> U64(32)
-    return ((h * np.asarray(size, U64)) >> U64(32)).astype(np.int64)
-
-
-def _place(key, p1, share, weight) -> np.ndarray:
-    """A finished table of nodes as bytes: all marks (16 bits), then estimates, then shares (floats).
-
-    Every node has _WAYS places; the most frequent are placed last in a round and
-    win. One that finds no place counts as unseen.
-    """
-    n = 256 + len(key) * _ROOM // 10
-    mark, e, w = np.zeros(n, np.uint16), np.zeros(n, np.float32), np.zeros(n, np.float32)
-    left = np.argsort(weight, kind="stable")
-    owner = np.empty(n, np.int64)
-    for way in range(_WAYS):
-        slot = _slot(key[left], way, n)
-        free = mark[slot] == 0
-        at, who = slot[free], left[free]
-        owner[at] = who  # later writes win
-        won = owner[at] == who
-        put, at = who[won], at[won]
-        mark[at], e[at], w[at] = _mark(key[put]), p1[put], share[put]
-        stay = ~free
-        stay[np.flatnonzero(free)[~won]] = True
-        left = left[stay]
-        if not len(left):
-            break
-    return np.concatenate([mark.view(np.uint8), e.view(np.uint8), w.view(np.uint8)])
-
+    def __init__(self, level: _Level):
+        """The keys of a level are sorted; the last place stands for no node."""
+        self.key = np.append(level.key, np.iinfo(U64).max)
+        self.p1, self.share = np.append(level.p1, 0.5), np.append(level.share, 1.0)
 
-class _Table:
-    """The nodes of one depth: finished tables of all segments, end to end."""
-
-    def __init__(self, blobs: dict[int, np.ndarray]):
-        """By segment; the shallow depths have one table, under segment 0, for all contexts."""
-        sizes = np.zeros(SEGMENTS, np.int64)
-        for s, b in blobs.items():
-            sizes[s] = len(b) // _SLOT
-        self.sizes, self.starts = sizes.astype(U64), np.cumsum(sizes) - sizes
-        n = int(sizes.sum())
-        self.mark, self.p1, self.share = np.zeros(n + 1, np.uint16), np.zeros(n + 1, np.float32), np.zeros(n + 1, np.float32)
-        for s, b in blobs.items():
-            k, at = int(sizes[s]), int(self.starts[s])
-            self.mark[at : at + k] = b[: 2 * k].view(np.uint16)
-            self.p1[at : at + k] = b[2 * k : 6 * k].view(np.float32)
-            self.share[at : at + k] = b[6 * k :].view(np.float32)
-
-    def find(self, key, segment):
-        """Slots, and whether the node is there."""
-        mark, start, size = _mark(key), self.starts[segment], self.sizes[segment]
-        slot = start + _slot(key, 0, size)
-        there = self.mark[slot] == mark
-        for way in range(1, _WAYS):
-            missing = np.flatnonzero(~there)
-            if not len(missing):
-                break
-            other = start[missing] + _slot(key[missing], way, size[missing])
-            hit = self.mark[other] == mark[missing]
-            slot[missing[hit]] = other[hit]
-            there[missing[hit]] = True
-        return slot, there & (size > 0)
+    def find(self, key):
+        """Places, and whether the node is there."""
+        at = np.searchsorted(self.key, key)
+        return at, self.key[at] == key
 
 
 class ContextTree:
-    """The trained tree."""
+    """The trained tree, or the part of it that one segment's strings need."""
 
     def __init__(self, tables: list[_Table]):
         self.tables = tables  # by depth, from 0
@@ -281,65 +233,119 @@ class ContextTree:
         """
         out = np.zeros(len(g))
         byte = g & U64(255)
-        segment, whole = _segment(g), np.zeros(len(g), np.int32)
         for j in range(8):
             prefix = (byte >> U64(8 - j)) | U64(1 << j)
             p, seen = np.full(len(g), 0.5), np.zeros(len(g), bool)
             for d in range(len(self.tables) - 1, -1, -1):
                 t = self.tables[d]
-                slot, there = t.find((((g >> U64(8)) & U64((1 << (8 * d)) - 1)) << U64(8)) | prefix, segment if d > 2 else whole)
-                p1, share = t.p1[slot].astype(np.float64), t.share[slot].astype(np.float64)
-                share = np.where(seen, share, 1.0)  # nothing longer is known: the context acts as a leaf
-                p = np.where(there, share * p1 + (1 - share) * p, p)
+                at, there = t.find((((g >> U64(8)) & U64((1 << (8 * d)) - 1)) << U64(8)) | prefix)
+                share = np.where(seen, t.share[at], 1.0)  # nothing longer is known: the context acts as a leaf
+                p = np.where(there, share * t.p1[at] + (1 - share) * p, p)
                 seen |= there
             bit = ((byte >> U64(7 - j)) & U64(1)).astype(bool)
             out += np.log10(np.where(bit, p, 1 - p))
         return out
 
 
-def train(texts: DataFrame, scratch: Scratch) -> ContextTree:
-    """A tree from all rows of ``data`` (bytes)."""
-    spark = texts.sparkSession
-    counted = texts.select("data").mapInArrow(_count_grams, "seg int, grams binary, counts binary")
-    nodes = scratch.save(counted.repartition("seg").sortWithinPartitions("seg").mapInArrow(_weigh_segments, "depth int, key long, n0 double, n1 double, below double, nodes binary"))
+def _deep(grams, train) -> list[_Table]:
+    """Depths 3 to DEPTH of one segment's strings."""
+    return [_Table(x) for x in reversed(_levels(grams, train)[:-1])]
+
+
+def grow(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[_Table]]:
+    """From rows of ``held_out, data``: all strings, a row for each segment, and the tables of depths 0 to 2."""
+    counted = texts.select("held_out", "data").mapInArrow(_count_grams, "seg int, grams binary, train binary, every binary")
+    made = scratch.save(counted.repartition("seg").sortWithinPartitions("seg").mapInArrow(_weigh_segments, _SEGMENT_DDL))
     # depth 2 has 65,536 contexts of 255 nodes at most
-    two = nodes.where("depth = 2").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toArrow()
+    two = made.where("grams is null").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("key").toArrow()
     col = lambda n: two.column(n).combine_chunks().to_numpy(zero_copy_only=False)
     levels = [_Level(col("key").astype(U64), col("n0"), col("n1"), col("below"))]
     levels.append(levels[-1].shorter(1))
     levels.append(levels[-1].shorter(0))
-    tables = [_Table({0: _place(x.key, x.p1, x.share, x.n0 + x.n1)}) for x in reversed(levels)]
-    for d in range(3, DEPTH + 1):
-        got = nodes.where(F.col("depth") == d).select("key", "nodes").toArrow()  # SEGMENTS * NODES at most
-        tables.append(_Table({k: np.frombuffer(x.as_buffer(), np.uint8) for k, x in zip(got.column(0).to_pylist(), got.column(1))}))
-        del got
-    scratch.drop(nodes)
-    return ContextTree(tables)
+    return made.where("grams is not null").select("grams", "train", "every"), [_Table(x) for x in reversed(levels)]
+
+
+def train(texts: DataFrame, scratch: Scratch) -> ContextTree:
+    """The whole tree from all rows of ``data`` (bytes), on the driver: for tables that fit there."""
+    strings, shallow = grow(texts.select(F.lit(False).alias("held_out"), "data"), scratch)
+    parts = strings.toArrow()
+    grams, counts = (np.frombuffer(b"".join(parts.column(n).to_pylist()), kind) for n, kind in (("grams", U64), ("train", np.int64)))
+    return ContextTree([*shallow, *_deep(grams, counts)])
+
+
+def _score_strings(shallow):
+    """mapInArrow function over segments: every string's log10 probability, the most frequent strings apart."""
+
+    def run(source):
+        for b in source:
+            for blobs in zip(*(b.column(i) for i in range(3))):
+                g, t, e = (np.frombuffer(x.as_py(), kind) for x, kind in zip(blobs, (U64, np.int64, np.int64)))
+                tree = ContextTree([*shallow.value, *_deep(g, t)])
+                sent = np.zeros(len(g), bool)
+                sent[np.argsort(-e, kind="stable")[:SENT]] = True
+                for at in range(0, len(g), 262_144):
+                    k, s = g[at : at + 262_144], sent[at : at + 262_144]
+                    v = tree.log10(k)
+                    yield pa.record_batch([pa.array([True, False]), *[pa.array([x[s].tobytes(), x[~s].tobytes()], pa.binary()) for x in (k, v)]], names=["sent", "grams", "scores"])
+
+    return run
+
+
+def _spread(kind, names):
+    """mapInArrow function: rows (.., keys, values) of packed arrays to a row for each key."""
+
+    def flush(held):
+        *ids, k, v = zip(*held)
+        sizes = [len(x) // 8 for x in k]
+        return pa.record_batch([*[pa.array(np.repeat(np.array(x, np.int64), sizes)) for x in ids], pa.array(np.frombuffer(b"".join(k), np.int64)), pa.array(np.frombuffer(b"".join(v), kind))], names=names)
+
+    def run(source):
+        for b in source:
+            held, n = [], 0
+            for row in zip(*b.columns):
+                held.append(tuple(x.as_py() for x in row))
+                n += len(held[-1][-1]) // 8
+                if n >= 262_144:
+                    yield flush(held)
+                    held, n = [], 0
+            if held:
+                yield flush(held)
+
+    return run
 
 
 class _Scorer:
-    """Scores with a cache of what (context, byte) strings have given; it is direct-mapped and of fixed size."""
+    """Adds up scores of strings; a direct-mapped cache of fixed size stands before the sent ones."""
 
-    def __init__(self, tree: ContextTree):
-        self.tree = tree
+    def __init__(self, sent: tuple[np.ndarray, np.ndarray]):
+        self.sent, self.score = np.append(sent[0], np.iinfo(U64).max), np.append(sent[1], np.nan)
         self.keys, self.values = np.full(1 << _CACHE_BITS, np.iinfo(U64).max, U64), np.zeros(1 << _CACHE_BITS)
 
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[bytes, bytes]]]:
+        """Of each text, the log10 probability by the strings that were sent, and the others with their counts."""
         g, sizes = _grams(texts)
         slot = ((g * U64(0x9E3779B97F4A7C15)) >> U64(64 - _CACHE_BITS)).astype(np.int64)
         out = self.values[slot]
         missing = np.flatnonzero(self.keys[slot] != g)
         if len(missing):
             new, back = np.unique(g[missing], return_inverse=True)
-            value = np.concatenate([self.tree.log10(new[i : i + 262_144]) for i in range(0, len(new), 262_144)])
+            at = np.searchsorted(self.sent, new)
+            value = np.where(self.sent[at] == new, self.score[at], np.nan)
             out[missing] = value[back]
             at = ((new * U64(0x9E3779B97F4A7C15)) >> U64(64 - _CACHE_BITS)).astype(np.int64)
             self.keys[at] = new
             self.values[at] = 0
             mine = self.keys[at] == new
             self.values[at[mine]] = value[mine]
-        return np.add.reduceat(out, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        ends = np.cumsum(sizes)
+        others = np.flatnonzero(np.isnan(out))
+        out[others] = 0
+        cuts = np.searchsorted(others, np.append(0, ends))
+        rest = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            k, tf = np.unique(g[others[a:b]], return_counts=True)
+            rest.append((k.tobytes(), tf.astype(np.int64).tobytes()))
+        return np.add.reduceat(out, np.append(0, ends[:-1])), rest
 
 
 def held_out(key, parts: int = 10):
@@ -383,16 +389,24 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     spark = docs.sparkSession
     scratch = Scratch(spark, "ctw")
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key)).alias("held_out"), utf8(text).alias("data"))
-    tree = spark.sparkContext.broadcast(train(slim.where("not held_out and data is not null"), scratch))  # bounded by SEGMENTS * NODES
+    # a null text teaches the tree nothing, but its end is scored like any other
+    strings, shallow = grow(slim.select((F.col("held_out") | F.col("data").isNull()).alias("held_out"), "data"), scratch)
+    shallow = spark.sparkContext.broadcast(shallow)  # depths 0 to 2
+    valued = scratch.save(strings.mapInArrow(_score_strings(shallow), "sent boolean, grams binary, scores binary"))
+    got = valued.where("sent").select("grams", "scores").toArrow()  # SEGMENTS * SENT at most
+    k, v = (np.frombuffer(b"".join(got.column(n).to_pylist()), kind) for n, kind in (("grams", U64), ("scores", np.float64)))
+    order = np.argsort(k)
+    sent = spark.sparkContext.broadcast((k[order], v[order]))
+    del got, k, v, order
     counts = scratch.save(slim.select("held_out", "data").mapInArrow(_count_words, "word string, c long, everywhere long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("everywhere").alias("everywhere")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     below = total + 0.1 * (distinct + 1)
     heavy = {r[0].encode(): r[1] for r in counts.where(F.octet_length("word") <= HEAVY_BYTES).orderBy(F.desc("everywhere"), "word").limit(HEAVY).select("word", "c").collect()}
     known = spark.sparkContext.broadcast(heavy)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))), ("grams", pa.binary()), ("gram_tf", pa.binary())])
 
     def run(source):
-        scorer = _Scorer(tree.value)
+        scorer = _Scorer(sent.value)
         logs = {w: float(np.log10((c + 0.1) / below)) for w, c in known.value.items()}
         sure = {w for w, c in known.value.items() if c}
 
@@ -414,16 +428,20 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             at = 0
             ids, outs = b.column(0).to_pylist(), b.column(1).to_pylist()
             for texts in _text_groups(b.column(2), _CHUNK // 2):
-                for t, s in zip(texts, scorer(texts)):
+                for t, s, more in zip(texts, *scorer(texts)):
                     n, n_known, base, rest = words_of(t)
-                    yield ids[at], outs[at], n, n_known, base, float(s), rest
+                    yield ids[at], outs[at], n, n_known, base, float(s), rest, *more
                     at += 1
 
         for b in source:
             yield from batches(rows(b), schema, 2_000)
 
-    scored = scratch.save(slim.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<word: string, tf: long>>").withColumn("rid", F.monotonically_increasing_id()))
+    scored = scratch.save(slim.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<word: string, tf: long>>, grams binary, gram_tf binary").withColumn("rid", F.monotonically_increasing_id()))
     rest = scored.select("rid", F.explode("rest").alias("r")).select("rid", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
-    rest = rest.join(counts.select("word", "c"), "word").groupBy("rid").agg(F.sum(F.col("tf") * F.log10((F.col("c") + 0.1) / F.lit(below))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"))
-    out = scored.drop("rest").join(rest, "rid", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    rest = rest.join(counts.select("word", "c"), "word").select("rid", (F.col("tf") * F.log10((F.col("c") + 0.1) / F.lit(below))).alias("more"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("more_known"), F.lit(0.0).alias("more_score"))
+    others = scored.where(F.octet_length("grams") > 0).select("rid", "grams", "gram_tf").mapInArrow(_spread(np.int64, ["rid", "gram", "tf"]), "rid long, gram long, tf long")
+    scores = valued.where("not sent").select("grams", "scores").mapInArrow(_spread(np.float64, ["gram", "s"]), "gram long, s double")
+    others = others.join(scores, "gram").select("rid", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("more_known"), (F.col("tf") * F.col("s")).alias("more_score"))
+    rest = rest.unionByName(others).groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("more", "more_known", "more_score")])
+    out = scored.drop("rest", "grams", "gram_tf").join(rest, "rid", "left")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))

@@ -279,6 +279,20 @@ def test_tree_is_a_distribution(spark):
         assert (10 ** tree.log10(g)).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_no_string_is_dropped(spark, monkeypatch):
+    """A corpus with more nodes than a segment used to keep, and strings beyond those sent to the workers."""
+    rng = random.Random(11)
+    # contexts that share their nearest three bytes are in one segment
+    rows = [(i, "".join(rng.choice("bcdfghjklmnpqrst") + rng.choice("bcdfghjklmnpqrst") + "xyz" + rng.choice("aeiou") for _ in range(400)), None, None, None) for i in range(20)]
+    learned = [t.encode() for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 10]
+    want = [brute_ctw(learned, t.encode(), ctw.DEPTH) for _, t, *_ in rows[:2]]
+    for sent in (ctw.SENT, 3):
+        for name in ("SENT", "NODES"):
+            monkeypatch.setattr(ctw, name, sent, raising=False)
+        got = {r["doc_id"]: r["score"] for r in ctw.score_documents(spark.createDataFrame(rows, DOC)).collect()}
+        assert [got[0], got[1]] == pytest.approx(want, rel=1e-9)
+
+
 def test_ctw_awkward(spark, awkward):
     got = ctw.score_documents(awkward).collect()
     assert len(got) == len(AWKWARD) and all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
