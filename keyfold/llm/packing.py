@@ -2,9 +2,10 @@
 
 Documents become pieces of at most ``capacity`` tokens (only longer documents
 are cut). Groups of pieces, by hash, are packed on their own: best fit by
-decreasing length, then a local search among underfull bins that moves a piece,
-exchanges one for one, or two for one whenever that increases the sum of
-squared fills. Fill gathers in some bins until others are empty.
+decreasing length, then a local search among all underfull bins that moves a
+piece, exchanges one for one, or two for one whenever that increases the sum of
+squared fills. Fill gathers in some bins until others are empty; the search ends
+when nothing improves or no packing can have fewer bins.
 """
 
 from __future__ import annotations
@@ -20,10 +21,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, batches, ready
 from .tokens import encoder, prove_whole, text_groups
 
-#: Pieces of a packing group; a group's loss is a part of one bin.
+#: Pieces of a packing group.
 GROUP = 20_000
-#: Rounds of local search over the underfull bins, and the most bins in one round.
-ROUNDS, UNDERFULL = 4, 400
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -56,59 +55,82 @@ class LocalSearch:
     """Moves between underfull bins that increase the sum of squared fills."""
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int):
-        self.n, self.bins, self.cap = lengths, bins, capacity
-        self.fill = [int(sum(lengths[i] for i in b)) for b in bins]
-
-    def gain(self, a: int, b: int, shift: int) -> int:
-        """Growth of the squared fills when ``shift`` tokens go from bin a to bin b; 0 if it does not fit."""
-        fa, fb = self.fill[a], self.fill[b]
-        if shift <= 0 or fb + shift > self.cap:
-            return 0
-        return (fa - shift) ** 2 + (fb + shift) ** 2 - fa * fa - fb * fb
+        self.n, self.bins, self.cap = np.asarray(lengths, np.int64), [list(b) for b in bins], capacity
+        self.fill = np.array([self.n[b].sum() for b in bins], np.int64)
+        self.of = np.zeros(len(self.n), np.int64)  # the bin of each piece
+        for k, b in enumerate(bins):
+            self.of[b] = k
+        # of each piece: its bin's fill, and the most that could stand in its place
+        self.held = self.fill[self.of]
+        self.place = self.n + capacity - self.held
 
     def _apply(self, a: int, b: int, out: list[int], back: list[int]) -> None:
-        shift = int(sum(self.n[i] for i in out)) - int(sum(self.n[i] for i in back))
-        self.bins[a] = [i for i in self.bins[a] if i not in out] + back
-        self.bins[b] = [i for i in self.bins[b] if i not in back] + out
-        self.fill[a] -= shift
-        self.fill[b] += shift
-
-    def improve(self, a: int, b: int) -> bool:
-        """The best move, one-for-one or two-for-one exchange from bin a into the room of bin b."""
-        n, room = self.n, self.cap - self.fill[b]
-        A, B = self.bins[a], self.bins[b]
+        for one, other, go in ((a, b, out), (b, a, back)):
+            self.bins[one] = [i for i in self.bins[one] if i not in go]
+            self.bins[other] += go
+            self.of[go] = other
+        for k in (a, b):
+            at = self.bins[k]
+            self.fill[k] = self.n[at].sum()
+            self.held[at] = self.fill[k]
+            self.place[at] = self.n[at] + self.cap - self.fill[k]
+
+    def _offers(self, a: int) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+        """Lengths that one piece of bin a has, and those of one or two, each with such pieces."""
+        by_length: dict[int, list[int]] = {}
+        for i in self.bins[a]:
+            by_length.setdefault(int(self.n[i]), []).append(i)
+        one = {n: same[:1] for n, same in by_length.items()}
+        two, lengths = dict(one), list(by_length)
+        for x, n in enumerate(lengths):
+            if len(by_length[n]) > 1:
+                two.setdefault(2 * n, by_length[n][:2])
+            for m in lengths[x + 1 :]:
+                two.setdefault(n + m, [one[n][0], one[m][0]])
+        return one, two
+
+    def _largest(self, offers: dict[int, list[int]]) -> np.ndarray:
+        """The largest offer up to each length from 0 to the capacity; 0 where there is none."""
+        t = np.zeros(self.cap + 1, np.int64)
+        at = np.fromiter(offers, np.int64, len(offers))
+        t[at] = at
+        return np.maximum.accumulate(t)
+
+    def improve(self, a: int) -> bool:
+        """The best move, one-for-one or two-for-one exchange from bin a into any bin that is not emptier."""
+        one, two = self._offers(a)
+        fa = self.fill[a]
         best, what = 0, None
-        for x, i in enumerate(A):
-            ni = int(n[i])
-            if (g := self.gain(a, b, ni)) > best:
-                best, what = g, ([i], [])
-            for j in B:
-                if 0 < ni - int(n[j]) <= room and (g := self.gain(a, b, ni - int(n[j]))) > best:
-                    best, what = g, ([i], [j])
-            for k in A[x + 1 :]:
-                two = ni + int(n[k])
-                for j in B:
-                    if 0 < two - int(n[j]) <= room and (g := self.gain(a, b, two - int(n[j]))) > best:
-                        best, what = g, ([i, k], [j])
+        # what goes to a bin that is at least as full always increases the sum of squares
+        shift = self._largest(one)[self.cap - self.fill]
+        gain = np.where(self.fill >= fa, shift * (self.fill - fa + shift), 0)
+        gain[a] = 0
+        if gain[b := int(gain.argmax())] > best:
+            best, what = gain[b], (b, one[int(shift[b])], [])
+        given = self._largest(two)[self.place]
+        shift = given - self.n
+        gain = np.where((shift > 0) & (self.held >= fa) & (self.of != a), shift * (self.held - fa + shift), 0)
+        if gain[j := int(gain.argmax())] > best:
+            what = (int(self.of[j]), two[int(given[j])], [j])
         if what:
-            self._apply(a, b, *what)
+            self._apply(a, *what)
         return bool(what)
 
+    def least(self) -> bool:
+        """Whether the room in all bins in use is less than one bin, so that no packing has fewer."""
+        used = self.fill[self.fill > 0]
+        return int((self.cap - used).sum()) < self.cap
+
     def run(self) -> list[list[int]]:
-        """Rounds over the emptiest underfull bins, until nothing improves."""
-        for _ in range(ROUNDS):
-            under = sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.cap and len(self.bins[b]) <= 24), key=lambda b: self.fill[b])[:UNDERFULL]
-            if len(under) < 2 or sum(self.cap - self.fill[b] for b in under) < self.fill[under[0]]:
-                break  # the room left cannot take even the emptiest bin
+        """Rounds over all underfull bins, the emptiest first, until nothing improves."""
+        changed = True
+        while changed and not self.least():
             changed = False
-            for at, a in enumerate(under):
-                for b in reversed(under[at + 1 :]):
-                    while self.fill[a] and self.fill[b] < self.cap and self.fill[a] <= self.fill[b] and self.improve(a, b):
-                        changed = True
-                    if not self.fill[a]:
-                        break
-            if not changed:
-                break
+            for a in np.argsort(self.fill, kind="stable").tolist():
+                while 0 < self.fill[a] < self.cap and self.improve(a):
+                    changed = True
+                if changed and not self.fill[a] and self.least():
+                    break
         return [b for b in self.bins if b]
 
 

@@ -196,6 +196,24 @@ def test_local_search_empties_bins():
     assert len(search.run()) == 2
 
 
+def test_local_search_stands_still():
+    """No move or exchange between any two underfull bins is left, whatever their number."""
+    lengths = np.random.default_rng(5).integers(500, 901, 1500)
+    bins = packing.pack(lengths, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(1500))
+    fills = [int(lengths[b].sum()) for b in bins]
+    assert max(fills) <= 2048
+    held = sorted((2048 - f, n) for b, f in zip(bins, fills) for n in {0, *lengths[b].tolist()})
+    for b, f in zip(bins, fills):
+        one = lengths[b].tolist()
+        two = [x + y for k, x in enumerate(one) for y in one[k + 1 :]]
+        for room, n in held:
+            if 0 < room <= 2048 - f:
+                if any(0 < v - n <= room for v in (one + two if n else one)):
+                    others = [k for k, o in enumerate(fills) if 2048 - o == room and (not n or n in lengths[bins[k]]) and bins[k] is not b]
+                    assert not others
+
+
 # ---- 4: context-tree weighting ----
 
 
