@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, batches, only, ready, utf8
+from .common import LOWER, Scratch, batches, may_hold, only, ready, utf8
 
 #: Words of a shard (one longer document is a shard of its own), and every how many positions are sampled.
 SHARD_WORDS, SAMPLE = 1_500_000, 8
@@ -250,6 +250,23 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple]]:
     return [slim.where(F.pmod(F.xxhash64("item", "data"), F.lit(n)) == b) for b in range(n)]
 
 
+def _found_by_row(slim: DataFrame, blocks: list[DataFrame], width: int) -> DataFrame:
+    """``row, n_words, spans, items`` of a written table of ``row, data``: spans of all blocks in the same text, merged."""
+    found = None
+    for block in blocks:
+        phrases = slim.sparkSession.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], width))
+        part = slim.select(F.col("row").alias("doc_id"), "data").mapInArrow(lambda source, p=phrases: _searcher(p.value)(source), _DDL)
+        found = part if found is None else found.unionByName(part)
+    # spans of the blocks are merged by a fold over the sorted spans
+    merged = F.aggregate(
+        F.array_sort(F.flatten(F.collect_list("spans"))),
+        F.array().cast("array<struct<start: bigint, end: bigint>>"),
+        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
+    )
+    all_items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    return found.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), merged.alias("spans"), all_items.alias("items"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_words, n_hit, spans, items``: merged word spans inside occurrences of the items' windows.
 
@@ -270,19 +287,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
         return slim.mapInArrow(lambda source: _searcher(phrases.value)(source), _DDL)
     slim = slim.withColumn("row", F.monotonically_increasing_id())
     slim = Scratch(docs.sparkSession, "decontamination").save(slim)
-    found = None
-    for block in blocks:
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], width))
-        part = slim.select(F.col("row").alias("doc_id"), "data").mapInArrow(lambda source, p=phrases: _searcher(p.value)(source), _DDL)
-        found = part if found is None else found.unionByName(part)
-    # spans of the blocks are merged by a fold over the sorted spans
-    merged = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("spans"))),
-        F.array().cast("array<struct<start: bigint, end: bigint>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    all_items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
-    by_row = found.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), merged.alias("spans"), all_items.alias("items"))
+    by_row = _found_by_row(slim.select("row", "data"), blocks, width)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return by_row.join(slim.select("row", "doc_id"), "row").select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
@@ -308,35 +313,55 @@ def clean_texts(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: st
 
     One pass over the documents: the shards are searched and the spans removed
     where the texts are. Rows without a hit, null texts included, are unchanged.
-    A benchmark beyond BENCH_BYTES is cut out block after block.
+    A benchmark beyond BENCH_BYTES is searched block after block, each in a pass
+    over the documents as they came; the spans are merged and cut out at once.
     """
-    ready(docs.sparkSession)
+    spark = docs.sparkSession
+    ready(spark)
     columns, schema = docs.columns, docs.schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     at = columns.index(text)
-    for block in _blocks(benchmark, "item_id", "text"):
-        held = docs.sparkSession.sparkContext.broadcast(Phrases([tuple(r) for r in (block if isinstance(block, list) else block.collect())], width))
-
-        def run(source, held=held):
-            phrases = held.value
-            get = phrases.vocab.get
+    blocks = _blocks(benchmark, "item_id", "text")
+    if len(blocks) > 1:
+        row, spans = (next(n for k in range(len(columns) + 1) if (n := f"_{name}{k}") not in columns) for name in ("row", "spans"))
+        scratch = Scratch(spark, "decontamination")
+        docs = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
+        found = _found_by_row(docs.select(F.col(row).alias("row"), utf8(text).alias("data")), blocks, width)
+        found = scratch.save(found.where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(spans)))
+        suspect = may_hold(found, row)(F.col(row))
+
+        def cut(source):
             for b in source:
-                texts = [x.encode() if x else b"" for x in b.column(at).to_pylist()]
-                start = 0
-                while start < len(texts):
-                    shard, n, end = [], 0, start
-                    while end < len(texts) and n < SHARD_WORDS:
-                        w = split_words(texts[end])
-                        shard.append((end, np.fromiter((get(x, 0) for x in w), np.int32, len(w))))
-                        n += len(w)
-                        end += 1
-                    spans, _ = find_in_shard([d for d in shard if len(d[1])], phrases)
-                    new = b.column(at).slice(start, end - start).to_pylist()
-                    for i, s in spans.items():
-                        new[i - start] = remove_word_spans(texts[i], s).decode()
-                    part = b.slice(start, end - start)
-                    yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
-                    start = end
-
-        docs = docs.mapInArrow(run, ddl)
-    return docs
+                old, marks = b.column(at).to_pylist(), b.column(len(columns)).to_pylist()
+                new = [remove_word_spans(x.encode(), [(m["start"], m["end"]) for m in s]).decode() for x, s in zip(old, marks)]
+                part = b.select(columns)
+                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+
+        # whole texts are shuffled only where the row may have a span
+        held = docs.where(suspect)
+        hit = held.join(found, row).select(*columns, spans).mapInArrow(cut, ddl)
+        return docs.where(~suspect).select(*columns).unionByName(held.join(found, row, "left_anti").select(*columns)).unionByName(hit)
+    held = spark.sparkContext.broadcast(Phrases(blocks[0], width))  # bounded by BENCH_BYTES
+
+    def run(source):
+        phrases = held.value
+        get = phrases.vocab.get
+        for b in source:
+            texts = [x.encode() if x else b"" for x in b.column(at).to_pylist()]
+            start = 0
+            while start < len(texts):
+                shard, n, end = [], 0, start
+                while end < len(texts) and n < SHARD_WORDS:
+                    w = split_words(texts[end])
+                    shard.append((end, np.fromiter((get(x, 0) for x in w), np.int32, len(w))))
+                    n += len(w)
+                    end += 1
+                spans, _ = find_in_shard([d for d in shard if len(d[1])], phrases)
+                new = b.column(at).slice(start, end - start).to_pylist()
+                for i, s in spans.items():
+                    new[i - start] = remove_word_spans(texts[i], s).decode()
+                part = b.slice(start, end - start)
+                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+                start = end
+
+    return docs.mapInArrow(run, ddl)

@@ -485,6 +485,23 @@ def test_contamination_awkward(spark, awkward):
     assert sum(n for k, n in hits(fm_index.contamination(clean, b)).items() if k[2]) == 0
 
 
+def test_blocks_of_a_benchmark_are_cut_at_once(spark, awkward, monkeypatch):
+    """Overlapping passages of items in different blocks go whole, and words around a cut stay."""
+    w = [[f"d{d}w{k}" for k in range(30)] for d in range(8)]
+    items = [(10 * d + n, " ".join(w[d][a:b])) for d in range(8) for n, a, b in ((1, 0, 15), (2, 10, 22))]
+    # these words are neighbours only once a passage between them is gone
+    rows = [(100 + d, " ".join(["a1", *w[d], "b2"]), "en", "s", d) for d in range(8)] + [(200 + d, " ".join(["p"] * 5 + w[d][:15] + ["q"] * 5), "en", "s", d) for d in range(8)]
+    items += [(90 + k, " ".join(["p"] * 5 + ["q"] * 5)) for k in range(3)]
+    b = spark.createDataFrame([*items, (None, "eleven twelve"), (7, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(*r, i, 7, "clash", "rid") for i, r in enumerate(rows)], awkward.schema).unionByName(awkward)
+    key = lambda df: Counter(map(tuple, df.collect()))
+    want = key(fm_index.clean_texts(docs, b))
+    monkeypatch.setattr(fm_index, "BENCH_BYTES", 500)
+    got = fm_index.clean_texts(docs, b)
+    assert got.columns == docs.columns and key(got) == want
+    assert {r["text"] for r in got.where("doc_id = 200").collect()} == {"p p p p p  q q q q q"}
+
+
 def test_fm_index_on_random_sequences():
     rng = np.random.default_rng(6)
     for sigma in (2, 3, 9):
