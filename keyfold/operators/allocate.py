@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyfold.functions.text import hash_bucket
-from keyfold.session import ship
+from keyfold.session import scratch_path, ship
 
 
 def _stream(df: DataFrame, run, ddl: str, *order) -> DataFrame:
@@ -88,29 +88,45 @@ def apply(df: DataFrame, allocation: DataFrame, key: str, receivers: int) -> Dat
     return placed.repartitionById(receivers, "receiver")
 
 
-def delegation_rounds(allocation: DataFrame, receivers: int, rounds: int = 10, threshold: float = 0.0) -> DataFrame:
+def delegation_rounds(allocation: DataFrame, receivers: int, rounds: int | None = None, threshold: float = 0.0) -> DataFrame:
     """``key, receiver, cost`` after rounds of delegation between the most and least loaded receivers.
 
-    A round ranks receivers by load; the first half each offer one task to the
-    receiver at the mirrored rank, the costliest that it accepts: its load plus
-    the cost stays below the giver's load by more than the threshold. No load
-    ever passes the largest before, and no task is lost. Rounds end at the
-    bound or when nothing moves.
+    A round ranks receivers by load; each of the first half offers tasks to the
+    receiver at the mirrored rank, the costliest that this accepts first: the
+    taker's load plus the cost stays below the giver's load by more than the
+    threshold. It goes on with the next costliest while each is accepted after
+    those before. No load ever passes the largest before, and no task is lost.
+    Rounds end when nothing moves, or at a bound if one is given; each is
+    written to the shared folder.
     """
+    spark = allocation.sparkSession
     now = allocation.select("key", "receiver", "cost")
-    for _ in range(rounds):
+    path, done = scratch_path(spark, "delegation"), 0
+
+    def save(df: DataFrame) -> DataFrame:
+        to = f"{path}/{done}"
+        df.write.parquet(to)
+        return spark.read.schema(df.schema).parquet(to)
+
+    now = save(now)
+    while rounds is None or done < rounds:
         loads = {r["receiver"]: r["load"] for r in loads_of(now).collect()}  # receivers: nodes of a cluster
         ranked = sorted(range(receivers), key=lambda r: (-loads.get(r, 0), r))
         pairs = [(g, t, loads.get(g, 0), loads.get(t, 0)) for g, t in zip(ranked[: receivers // 2], reversed(ranked)) if loads.get(g, 0) > loads.get(t, 0)]
         if not pairs:
             break
-        peers = now.sparkSession.createDataFrame(pairs, "receiver int, taker int, mine bigint, theirs bigint")
+        peers = spark.createDataFrame(pairs, "receiver int, taker int, mine bigint, theirs bigint")
         fits = now.join(F.broadcast(peers), "receiver").where((F.col("mine") - (F.col("theirs") + F.col("cost"))) / F.col("mine") > threshold)
-        moves = {r["key"]: r["taker"] for r in fits.groupBy("receiver", "taker").agg(F.max_by("key", F.struct("cost", "key")).alias("key")).collect()}  # one a giver
-        if not moves:
+        # costliest first; a task without a cost moves nothing
+        first = Window.partitionBy("receiver").orderBy(F.desc("cost"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        after = F.sum("cost").over(first)
+        left = F.col("mine") - (F.col("_after") - F.col("cost"))
+        fits = fits.where("cost > 0 and key is not null").withColumn("_after", after).withColumn("_takes", (left - (F.col("theirs") + F.col("_after"))) / left > threshold)
+        moved = fits.withColumn("_all", F.min("_takes").over(first)).where("_all").select("key", "receiver", "taker")
+        if moved.isEmpty():
             break
-        moved = now.sparkSession.createDataFrame(list(moves.items()), f"key {now.schema['key'].dataType.simpleString()}, taker int")
-        now = now.join(F.broadcast(moved), "key", "left").select("key", F.coalesce("taker", "receiver").alias("receiver"), "cost")
+        done += 1
+        now = save(now.join(moved, ["key", "receiver"], "left").select("key", F.coalesce("taker", "receiver").alias("receiver"), "cost"))
     return now
 
 

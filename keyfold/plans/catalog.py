@@ -536,9 +536,9 @@ def hash_allocation(spark, d):
 
 @query("delegation_planner")
 def delegation_planner(spark, d):
-    """Hash allocation improved by rounds of delegation; loads of the nodes."""
+    """Hash allocation improved by rounds of delegation until nothing moves; loads of the nodes."""
     start = allocate.by_hash(_owned(spark, d), NODES)
-    return allocate.loads_of(allocate.delegation_rounds(start, NODES, 6))
+    return allocate.loads_of(allocate.delegation_rounds(start, NODES))
 
 
 # ---- profiles and metrics ----

@@ -104,6 +104,17 @@ def test_planner_invariants(spark):
     assert placed.where("p <> receiver").count() == 0
 
 
+def test_planner_stops_when_nothing_moves(spark):
+    """All tasks start on one node; no mirrored pair is left that accepts another."""
+    t = spark.range(3000).select(F.col("id").alias("key"), (F.col("id") % 17 + 1).alias("cost"), F.lit(0).alias("receiver"))
+    rows = allocate.delegation_rounds(t, 6).collect()
+    assert sorted(r["key"] for r in rows) == list(range(3000))
+    loads = {r: sum(x["cost"] for x in rows if x["receiver"] == r) for r in range(6)}
+    ranked = sorted(loads, key=lambda r: (-loads[r], r))
+    for g, t in zip(ranked[:3], reversed(ranked)):
+        assert not any(loads[t] + x["cost"] < loads[g] for x in rows if x["receiver"] == g)
+
+
 def test_right_closed_buckets(spark):
     a = spark.createDataFrame([(0,), (1000,), (1001,), (3000,)], "ts bigint")
     got = timeline.tumble(a, 1000, F.count("*").alias("n"), zero=("n",)).orderBy("bucket").collect()
