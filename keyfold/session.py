@@ -50,13 +50,26 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary folder only where none is set."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
+
+    Where none is set, a local session gets a temporary folder; on a cluster the
+    executors would not share one, so that is an error.
+    """
     import tempfile
-    import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="keyfold-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/keyfold-{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    import uuid
+
+    return f"{shared_root(spark)}/keyfold-{name}-{uuid.uuid4().hex}"
