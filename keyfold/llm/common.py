@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.session import ship
+from keyfold.session import shared_root, ship
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U64 = np.uint64
@@ -21,6 +21,8 @@ U64 = np.uint64
 FILTER_BITS = 1 << 26
 #: Documents of an Arrow batch.
 BATCH_ROWS = 2_500
+#: Keys of very many rows that a join broadcasts, at most, and the fewest rows of such a key.
+HOT_KEYS, HOT_ROWS = 50_000, 512
 
 _STORES: dict[str, Callable[[], None]] = {}
 _IN_USE = [""]
@@ -38,16 +40,14 @@ def only(name: str) -> None:
         for other, clear in _STORES.items():
             if other != name:
                 clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="keyfold-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+def give_back() -> None:
+    """Hands free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -70,13 +70,18 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+_SCOPES: list[list[Scratch]] = []
+
+
 class Scratch:
     """Tables written to the shared folder: a lost executor costs no recomputation beyond them."""
 
     def __init__(self, spark: SparkSession, name: str):
         ready(spark)
-        self.spark, self.root = spark, f"{shared_dir(spark)}/keyfold-{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_root(spark)}/keyfold-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        for held in _SCOPES:
+            held.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Writes a table once and reads it back, which cuts the lineage."""
@@ -94,6 +99,46 @@ class Scratch:
                 drop_path(self.spark, t._keyfold_path)
 
 
+@contextlib.contextmanager
+def scratch_scope():
+    """Frees all tables that operators wrote inside, once what is read from them has been written."""
+    held: list[Scratch] = []
+    _SCOPES.append(held)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(held)
+        for s in held:
+            drop_path(s.spark, s.root)
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """A column name that is not among ``columns``, upper and lower case alike."""
+    taken = {c.lower() for c in columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"{name}{k or ''}").lower() not in taken)
+
+
+def quoted(name: str) -> str:
+    """A column's name for expressions and DDL."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row for each ``on`` and its number ``n`` of rows.
+
+    An exchange would put all rows of a key into one task. Keys of more than
+    ``total`` / HOT_KEYS rows are broadcast, where ``total`` is no less than the
+    sum of ``n``, so there are fewer than HOT_KEYS; the rest is joined as usual.
+    ``facts`` is a written table.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot = facts.where(F.col(n) > most)
+    if hot.isEmpty():
+        return rows.join(facts, on)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(facts.where(F.col(n) <= most), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def words(data: bytes | None) -> list[bytes]:
     """Lower-cased words between ASCII white space."""
     return data.translate(LOWER).split() if data else []

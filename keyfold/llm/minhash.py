@@ -7,9 +7,10 @@ are therefore one slice of the second permutation's table.
 
 Documents with equal shingle sets form a class at once. Classes that share a
 band are candidates. Each class is verified against one hub; components follow.
-Where a band still joins several components, signatures tell which of them may
-be linked, and those are verified exactly, in blocks. So a group of n copies
-costs about n comparisons, not n squared, and no link is lost.
+Where a band still joins several components, the members outside its largest
+component are compared with all by their signatures, which tell what may be
+linked, and that is verified exactly, in blocks. So a group of n copies costs
+about n comparisons, not n squared, and no link is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, may_hold, mix, only, store, utf8, words
+from .common import U64, Scratch, join_hot, may_hold, mix, only, store, utf8, words
 from .components import connected
 
 #: Coordinates, bands (of COORDS / BANDS rows) and the universe of the permutations.
@@ -215,20 +216,20 @@ class _Union:
 
 
 def _compare_signatures(least: int):
-    """Rows (bucket, i, j, c, comp, sig): pairs of components that may be linked."""
+    """Rows (bucket, i, j, is_left, c, comp, sig): pairs of components that may be linked, by members of the left side."""
 
     def run(source):
         for _, rows in _units(source, 3):
-            comps = np.array([r[1] for r in rows])
-            sigs = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+            rows = list({c: (left, c, comp, sig) for left, c, comp, sig in sorted(rows, key=lambda r: r[0])}.values())  # a member of both sides: left
+            comps = np.array([r[2] for r in rows])
+            if (comps == comps[0]).all():
+                continue
+            sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
             union, found = _Union(), []
-            order = np.argsort(comps, kind="stable")
-            comps, sigs = comps[order], sigs[order]
-            for i in range(len(rows)):
-                near = np.flatnonzero((comps > comps[i]))
-                if len(near):
-                    near = near[(sigs[near] == sigs[i]).sum(1) >= least]
-                    found += [(int(comps[i]), c) for c in np.unique(comps[near]).tolist() if union.join(int(comps[i]), c)]
+            for i in (k for k, r in enumerate(rows) if r[0]):
+                near = np.flatnonzero(comps != comps[i])
+                near = near[(sigs[near] == sigs[i]).sum(1) >= least]
+                found += [(int(comps[i]), c) for c in np.unique(comps[near]).tolist() if union.join(int(comps[i]), c)]
             if found:
                 yield _edge_batch(found)
 
@@ -270,46 +271,61 @@ def _block_of(n):
     return F.pmod(F.xxhash64("c"), n).cast("int")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row for each row of docs.
+def _against_main(placed: DataFrame, group: str, left_block: int, right_block: int) -> DataFrame:
+    """``group, i, j, is_left, c, comp`` and what else ``placed`` has: the blocks in which members meet.
 
-    Documents are linked when 100 * intersection >= percent * union of their
-    sets of ``width``-word shingles. ``component_id`` is the smallest key that
-    links reach. Null and empty texts have no shingles and are linked with
-    nothing. Equal texts have equal sets and share a component; repeated rows
-    stay, and both are kept if both carry the smallest key; a null key takes
-    part in links but never is the component's id while another key is there.
-    Other columns are ignored; an empty table gives no rows.
+    ``placed`` has each group's members with ``m`` (their number), ``main`` (its
+    largest component) and ``most`` (that one's members). Members outside the
+    main component are the left side, all members the right one: rows grow with
+    the members outside times all, over the block, and not with their square. A
+    group of up to ``right_block`` members is one block.
+    """
+    one = F.col("m") <= right_block
+    placed = placed.withColumns({"nl": F.when(one, 1).otherwise(_blocks(F.col("m") - F.col("most"), left_block)), "nr": F.when(one, 1).otherwise(_blocks(F.col("m"), right_block)), "outside": F.col("comp") != F.col("main")})
+    rest = [c for c in placed.columns if c not in (group, "m", "main", "most", "nl", "nr", "outside", "n")]
+    alone = F.col("nr") == 1
+    right = placed.select(group, F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), _block_of(F.col("nr")).alias("j"), (alone & F.col("outside")).alias("is_left"), *rest)
+    left = placed.where(F.col("outside") & ~alone).select(group, _block_of(F.col("nl")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), F.lit(True).alias("is_left"), *rest)
+    return left.unionByName(right)
 
-    With 32 bands of 4 coordinates a pair at similarity 0.85 (0.8) shares no
-    band with probability 6e-11 (5e-8).
+
+def _shape(sizes: DataFrame, group: str) -> DataFrame:
+    """``group, m, main, most`` of groups with several components, from ``group, comp, n``."""
+    return sizes.groupBy(group).agg(F.sum("n").alias("m"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most")).where("most < m")
+
+
+def _decide(docs: DataFrame, width: int, percent: int, text: str, key: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Written tables: each row's ``doc_id, th, n_shingles, h1, h2``; each class of equal sets' ``h1, h2, label, top``.
+
+    ``th`` is the text's hash, ``label`` the class's smallest key, ``top`` its component.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("data"))
     th = F.xxhash64("data")
     signed = slim.withColumn("th", th).mapInArrow(_signer(width), "doc_id long, th long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary")
     rows = scratch.save(signed.withColumn("rid", F.monotonically_increasing_id()))
     # classes of equal sets
     classes = scratch.save(rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("rid").alias("c"), F.min("doc_id").alias("label")))
-    reps = rows.join(classes.select(F.col("c").alias("rid")), "rid").select(F.col("rid").alias("c"), "doc_id", "th", "bands", "sig")
+    reps = scratch.save(rows.join(classes.select(F.col("c").alias("rid")), "rid").select(F.col("rid").alias("c"), "doc_id", "th", "bands", "sig"))
+    total = BANDS * classes.count()
     banded = reps.select("c", F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("c").alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
-    members = scratch.save(banded.join(hubs, "bucket"))
+    hubs = scratch.save(banded.groupBy("bucket").agg(F.min("c").alias("hub"), F.count("*").alias("m")).where("m > 1"))
+    members = scratch.save(join_hot(banded, hubs, "bucket", "m", total).select("bucket", "c", "hub"))
     candidates = members.select("c").distinct()
     # the texts of the candidates, read once more: a class is found by key and text;
     # texts that are surely no candidate's stay where they are
     wanted = scratch.save(reps.join(candidates, "c").select("c", F.col("doc_id").alias("k"), F.col("th").alias("t"), "sig"))
-    sigs, wanted = wanted.select("c", "sig"), wanted.drop("sig")
-    again = slim.where("data is not null").where(may_hold(wanted, "k")(F.col("doc_id"))).withColumn("th", th)
-    texts = scratch.save(again.join(wanted, again["doc_id"].eqNullSafe(wanted["k"]) & (again["th"] == wanted["t"])).select("c", "data"))
+    scratch.drop(reps, hubs)
+    sigs, keys = wanted.select("c", "sig"), wanted.select("c", "k", "t")
+    again = slim.where("data is not null").withColumn("th", th).where(may_hold(wanted, "t")(F.col("th")))
+    texts = scratch.save(again.join(keys, again["doc_id"].eqNullSafe(keys["k"]) & (again["th"] == keys["t"])).select("c", "data"))
+    if not texts.groupBy("c").count().where("count > 1").isEmpty():  # rows that repeat key and text
+        texts = scratch.save(texts.dropDuplicates(["c"]))
 
     # 1: each class against the hub that it shares most bands with
     shared = members.where("c <> hub").groupBy("c", "hub").count()
-    best = shared.groupBy("c").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
-    best = scratch.save(best)
-    deg = best.groupBy("hub").agg(_blocks(F.count("*"), HUB_BLOCK).alias("n"))
-    placed = best.join(deg, "hub").select("hub", _block_of(F.col("n")).alias("block"), "c")
+    best = scratch.save(shared.groupBy("c").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")))
+    deg = scratch.save(best.groupBy("hub").agg(F.count("*").alias("m"), _blocks(F.count("*"), HUB_BLOCK).alias("n")))
+    placed = join_hot(best, deg, "hub", "m", total).select("hub", _block_of(F.col("n")).alias("block"), "c")
     with_hub = placed.unionByName(deg.select("hub", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), F.col("hub").alias("c")))
     pairs = with_hub.join(texts, "c").select("hub", "block", "c", "data").repartition("hub", "block").sortWithinPartitions("hub", "block")
     links = scratch.save(pairs.mapInArrow(_verify_hub(width, percent), "a long, b long"))
@@ -318,31 +334,76 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     # 2: bands that still join several components; signatures tell which may be linked
     comp_of = members.select("bucket", "c").join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     comp_of = scratch.save(comp_of)
-    open_ = comp_of.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", _blocks(F.col("m"), SIG_BLOCK).alias("n"))
-    tied = comp_of.join(open_, "bucket").join(sigs, "c").withColumn("block", _block_of(F.col("n")))
-    units = tied.select("bucket", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"), "c", "comp", "sig").select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "comp", "sig")
+    scratch.drop(members, best, deg, links)
+    open_ = scratch.save(_shape(comp_of.groupBy("bucket", "comp").agg(F.count("*").alias("n")), "bucket"))
+    tied = join_hot(comp_of, open_, "bucket", "m", total).join(sigs, "c")
     least = math.floor(COORDS * percent / 100 - 6.5 * math.sqrt(COORDS * percent / 100 * (1 - percent / 100)))
+    units = _against_main(tied, "bucket", SIG_BLOCK, SIG_BLOCK).select("bucket", "i", "j", "is_left", "c", "comp", "sig")
     maybe = scratch.save(units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare_signatures(least), "a long, b long"))
 
     # 3: exact verification between the components of each cluster, in blocks
     clusters = scratch.save(connected(maybe, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("cluster")))
     inside = scratch.save(comp_of.select("c", "comp").distinct().join(clusters, "comp"))
-    sizes = inside.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    shape = sizes.groupBy("cluster").agg(F.sum("n").alias("m"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"))
-    one = F.col("m") <= RIGHT_BLOCK
-    shape = shape.select("cluster", "main", F.when(one, 1).otherwise(_blocks(F.col("m") - F.col("most"), LEFT_BLOCK)).alias("nl"), F.when(one, 1).otherwise(_blocks(F.col("m"), RIGHT_BLOCK)).alias("nr"))
-    placed = inside.join(shape, "cluster")
-    left = placed.where("comp <> main").select("cluster", _block_of(F.col("nl")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), F.lit(True).alias("is_left"), "c", "comp")
-    right = placed.select("cluster", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), _block_of(F.col("nr")).alias("j"), F.lit(False).alias("is_left"), "c", "comp")
-    blocks = left.unionByName(right).join(texts, "c").select("cluster", "i", "j", "is_left", "c", "comp", "data").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    shape = scratch.save(_shape(inside.groupBy("cluster", "comp").agg(F.count("*").alias("n")), "cluster"))
+    blocks = _against_main(join_hot(inside, shape, "cluster", "m", total), "cluster", LEFT_BLOCK, RIGHT_BLOCK)
+    blocks = blocks.join(texts, "c").select("cluster", "i", "j", "is_left", "c", "comp", "data").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     more = scratch.save(blocks.mapInArrow(_verify_blocks(width, percent), "a long, b long"))
     merged = connected(more, scratch)
 
-    # the smallest key of each component, back to every row
     final = classes.join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").withColumn("top", F.coalesce("top", "comp"))
     final = scratch.save(final.select("h1", "h2", "label", "top"))
-    smallest = final.groupBy("top").agg(F.min("label").alias("component_id"))
-    by_set = scratch.save(final.join(smallest, "top").select("h1", "h2", "component_id"))
+    scratch.drop(classes, comps, comp_of, open_, maybe, clusters, inside, shape, more, texts, wanted)
+    return rows, final
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``, one row for each row of docs.
+
+    Documents are linked when 100 * intersection >= percent * union of their
+    sets of ``width``-word shingles. ``component_id`` is the smallest key that
+    links reach. Null and empty texts have no shingles and are linked with
+    nothing. Equal texts have equal sets and share a component; repeated rows
+    stay, and both are kept if both carry the smallest key; a null key takes
+    part in links but never is the component's id while another key is there.
+    Other columns are ignored; an empty table gives no rows.
+
+    With 32 bands of 4 coordinates a pair at similarity 0.85 (0.8) shares no
+    band with probability 6e-11 (5e-8).
+    """
+    scratch = Scratch(docs.sparkSession, "neardup")
+    rows, final = _decide(docs, width, percent, text, key, scratch)
+    # the smallest key of each component, back to every row
+    smallest = scratch.save(final.groupBy("top").agg(F.min("label").alias("component_id"), F.count("*").alias("n")))
+    by_set = scratch.save(join_hot(final, smallest, "top", "n", final.count()).select("h1", "h2", "component_id"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(by_set, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay, with all columns: one row of each component of ``near_duplicates``.
+
+    It is the row with the smallest key (a null key only where the component has
+    no other), then the smallest hash of the text; of rows that repeat key and
+    text one stays, and which of them, if other columns differ, is left open.
+    The decision is a row's own, so repeated and null keys hide no copy. Texts
+    that are null or without words are in no component, and all those rows stay.
+    Columns may have any names; an empty table stays empty.
+    """
+    scratch = Scratch(docs.sparkSession, "dedup")
+    rows, final = _decide(docs, width, percent, text, key, scratch)
+    tops = final.select("h1", "h2", "top")
+    placed = scratch.save(rows.where("n_shingles > 0").select("doc_id", "th", "h1", "h2").join(tops, ["h1", "h2"]).select("doc_id", "th", "top"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "th")).alias("first")
+    groups = scratch.save(placed.groupBy("top").agg(first, F.count("*").alias("n")).where("n > 1"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    several = join_hot(placed, groups, "top", "n", placed.count()).withColumn("stays", stays)
+    # rows that go, and those that stay once of several
+    decided = scratch.save(several.groupBy(F.col("doc_id").alias("k"), F.col("th").alias("t")).agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays"))
+    scratch.drop(rows, final, placed, groups)
+    packed = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("k"), F.xxhash64(utf8(text)).alias("t"))
+    suspect = may_hold(decided, "t")(F.col("t"))
+    # whole texts are shuffled only where the text may be one of those
+    held = packed.where(suspect).join(decided.select(F.col("k").alias("dk"), F.col("t").alias("dt"), "stays"), F.col("k").eqNullSafe(F.col("dk")) & (F.col("t") == F.col("dt")), "left")
+    rest = held.where(F.coalesce("stays", F.lit(True))).dropDuplicates(["k", "t"])
+    return packed.where(~suspect).select("row.*").unionByName(rest.select("row.*"))
