@@ -1,10 +1,10 @@
 """Sharding by a hypergeometric communication matrix (DataFrame operations only).
 
-A uniform shuffle with exact shard sizes: rows lie in source partitions; the
-numbers of rows that each partition sends to each shard are drawn from the
-multivariate hypergeometric law that a uniform permutation would give; every
-partition permutes its rows and deals them by those numbers; after the exchange
-every shard permutes what it has received.
+A uniform shuffle with exact shard sizes: rows lie in the partitions in which
+they are read; the numbers of rows that each partition sends to each shard are
+drawn from the multivariate hypergeometric law that a uniform permutation would
+give; every partition permutes its rows where they are and deals them by those
+numbers; after the exchange every shard permutes what it has received.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Rows of a source partition, and of a bucket in which a shard's rows are put in order.
+#: Rows of a bucket in which a shard's rows are put in order.
 ROWS = 20_000
-#: Bound on the source partitions, and so on the matrix that the driver draws.
-PARTITIONS = 20_000
+#: Bound on the partitions, and so on the matrix that the driver draws and broadcasts (16 shards: 2 MB).
+PARTITIONS = 16_384
 
 
 def shard_sizes(total: int, shards: int) -> list[int]:
@@ -82,25 +82,27 @@ def shuffle_shards(docs: DataFrame, shards: int = 16, seed: int = 7, text: str =
     ties and repeated rows are rows like others: each gets its own slot. An
     empty table gives an empty result. Other columns are ignored.
     The place of a row is drawn once, with the row's random key, into a written
-    table; a lost task reads it again, so slots never repeat.
+    table; a lost task reads it again, so slots never repeat. A partition's rows
+    are permuted by a sort inside it, without an exchange; beyond PARTITIONS
+    partitions, neighbours are read together.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
     body = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("_n"))
     # _n tells repeated rows apart; the draws hang on what is written here, once
-    slim = scratch.save(slim.withColumn("_deal", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "_n")))
-    total = slim.count()
+    slim = slim.coalesce(PARTITIONS).withColumn("_deal", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "_n"))
+    # first permutation, local: the id counts a partition's rows in the order of their random keys
+    slim = slim.sortWithinPartitions("_deal", "_n").withColumn("_id", F.monotonically_increasing_id())
+    slim = scratch.save(slim.select("doc_id", "size", "text_crc32", "_deal", "_n", F.shiftright("_id", 33).cast("int").alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_rank")))
+    counts = sorted(slim.groupBy("_part").count().collect())  # PARTITIONS rows at most
+    total = sum(n for _, n in counts)
     if not total:
         return slim.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    n_parts = max(1, min(PARTITIONS, total // ROWS))
-    slim = slim.withColumn("_part", F.pmod("_deal", F.lit(n_parts)).cast("int"))
-    counts = dict(slim.groupBy("_part").count().collect())  # n_parts rows at most
-    matrix = communication_matrix([counts.get(p, 0) for p in range(n_parts)], shard_sizes(total, shards), seed)
-    upto = spark.createDataFrame([(p, [sum(row[: s + 1]) for s in range(shards)]) for p, row in enumerate(matrix)], "_part int, _upto array<long>")
-    # first permutation, local: rank within the partition, then dealt by the matrix row
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 1), "_deal"), "_deal", "_n"))
-    dealt = slim.withColumn("_rank", rank).join(F.broadcast(upto), "_part").withColumn("shard", F.size(F.filter("_upto", lambda x: x < F.col("_rank"))).cast("int"))
+    matrix = communication_matrix([n for _, n in counts], shard_sizes(total, shards), seed)
+    upto = spark.createDataFrame([(p, [sum(row[: s + 1]) for s in range(shards)]) for (p, _), row in zip(counts, matrix)], "_part int, _upto array<long>")
+    # dealt by the matrix row
+    dealt = slim.join(F.broadcast(upto), "_part").withColumn("shard", F.size(F.filter("_upto", lambda x: x <= F.col("_rank"))).cast("int"))
     # second permutation: a random order of each shard, by buckets of bounded size
     n_buckets = max(1, total // shards // ROWS)
     dealt = dealt.withColumn("_order", F.xxhash64(F.lit(seed + 2), "_deal", "_n")).withColumn("_bucket", F.pmod("_order", F.lit(n_buckets)).cast("int"))
@@ -109,9 +111,3 @@ def shuffle_shards(docs: DataFrame, shards: int = 16, seed: int = 7, text: str =
     starts = sizes.withColumn("_start", F.sum("count").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("count")).drop("count")
     ordered = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_order", "_deal", "_n")) - 1)
     return ordered.join(starts, ["shard", "_bucket"]).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_start") + F.col("_place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def read_shard(sharded: DataFrame, shard: int) -> DataFrame:
-    """One shard in its order."""
-    return sharded.where(F.col("shard") == shard).orderBy("slot")
-
