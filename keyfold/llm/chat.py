@@ -93,14 +93,16 @@ def select_mapping(paths: Iterable[str], mappings: tuple[Mapping, ...] = MAPPING
 
     Fields that no mapping names are left out before hashing, so extra columns
     do not hide a layout; if several mappings' fields are there, the paths are
-    hashed for each mapping's own fields and the one with most fields is taken.
+    hashed for each mapping's own fields. A table by turn is taken before all
+    others: its rows are turns, whatever columns stand beside them. Else the one
+    with most fields is taken.
     """
     there, by_hash = set(paths), {m.fingerprint: m for m in mappings}
     known = there & {p for m in mappings for p in m.paths}
     if found := by_hash.get(hash_paths(known)):
         return found
     fits = [m for m in mappings if hash_paths(known & set(m.paths)) == m.fingerprint]
-    return max(fits, key=lambda m: (len(m.paths), m.name), default=None)
+    return max(fits, key=lambda m: (m.rows is not None, len(m.paths), m.name), default=None)
 
 
 def _text(value) -> str:
@@ -126,18 +128,20 @@ def record_turns(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
 _TURNS = "array<struct<role: string, text: string>>"
 
 
-def turns_of_table(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``conv_id, turns`` of a table of any known layout, chosen by its schema's fingerprint.
+def turns_of_table(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS, layout: str | None = None) -> DataFrame:
+    """``conv_id, turns`` of a table of any known layout, chosen by its schema's fingerprint or by a mapping's name.
 
     Null texts and roles count as empty. In tables by turn, turns are ordered by
-    the turn number, then role and text; repeated rows are turns of their own.
-    Extra columns are ignored. An unknown layout is an error, raised at plan time.
+    the turn number, then role and text; repeated rows are turns of their own,
+    and rows with a null id are one conversation, whose id is null. Extra
+    columns are ignored. An unknown layout is an error, raised at plan time.
     """
-    mapping = select_mapping([p for p in schema_paths(df.schema) if p != id_col], mappings)
+    named = tuple(m for m in mappings if layout in (None, m.name))
+    mapping = select_mapping([p for p in schema_paths(df.schema) if p != id_col], named)
     if mapping is None:
         raise ValueError(f"no mapping has the fingerprint of {schema_paths(df.schema)}")
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    named = lambda c: F.coalesce(*[F.when(c == k, v) for k, v in ROLES.items()], text(c))
+    common = lambda c: F.coalesce(*[F.when(c == k, v) for k, v in ROLES.items()], text(c))
     if mapping.rows:
         order, role, body = mapping.rows
         rows = df.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), text(F.col(role)).alias("role"), text(F.col(body)).alias("text")))).alias("t"))
@@ -150,7 +154,7 @@ def turns_of_table(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mappi
     turns = F.concat(flat(mapping.lead), flat(mapping.turns))
     if mapping.each:
         at, role, body = mapping.each
-        turns = F.concat(turns, F.transform(F.filter(F.coalesce(F.col(at), F.array().cast(df.schema[at].dataType)), lambda m: m.isNotNull()), lambda m: F.struct(named(m[role]).alias("role"), text(m[body]).alias("text"))))
+        turns = F.concat(turns, F.transform(F.filter(F.coalesce(F.col(at), F.array().cast(df.schema[at].dataType)), lambda m: m.isNotNull()), lambda m: F.struct(common(m[role]).alias("role"), text(m[body]).alias("text"))))
     return df.select(F.col(id_col).alias("conv_id"), turns.cast(_TURNS).alias("turns"))
 
 
