@@ -26,6 +26,14 @@ def query(name: str, sql: str | None = None):
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _strength(up: str) -> str:
+    """Pseudo-counts of a prior, from one level's n, good and the rate above."""
+    spread, room = f"sum(power(good - n * {up}, 2) / n - {up} * (1 - {up}))", f"sum({up} * (1 - {up}) * (n - 1))"
+    return f"CASE WHEN {spread} > 0 AND {room} > 0 THEN least({url_filters.MOST}, greatest({url_filters.LEAST}, {room} / {spread} - 1)) ELSE {url_filters.MOST} END"
+
+
 _OP1 = f"""
 WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '(?s)^([^/?#]*)', 1) AS raw FROM u),
@@ -34,15 +42,23 @@ rules(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7',
 m AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS said FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
 parts AS (SELECT DISTINCT host, string_split(host, '.') AS s FROM p),
 k AS (SELECT host, CASE WHEN two THEN array_to_string(s[-3:], '.') ELSE array_to_string(s[-2:], '.') END AS domain, CASE WHEN two THEN array_to_string(s[-2:], '.') ELSE s[-1] END AS suffix
-      FROM (SELECT *, array_to_string(s[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz') AS two FROM parts)),
+      FROM (SELECT *, regexp_matches(array_to_string(s[-2:], '.'), '^(?:{"|".join(url_filters.SECOND_LABELS)})[.][a-z]{{2}}$') AS two FROM parts)),
 c AS (SELECT host, domain, suffix, count(*) AS n, count(*) FILTER (quality = 1) AS good FROM p JOIN labels ON doc_id = page_id JOIN k USING (host) WHERE quality IS NOT NULL GROUP BY ALL),
-e AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean, sum(n) AS n, count(*) AS hosts, sum(n * n) AS squares FROM c),
-v AS (SELECT e.mean AS mean, e.mean * (1 - e.mean) AS noise, (SELECT sum(power(good - c.n * e.mean, 2) / c.n) FROM c) AS spread, e.n - squares / e.n - (hosts - 1) AS room, hosts FROM e),
-w AS (SELECT mean, CASE WHEN room > 0 AND spread - noise * (hosts - 1) > 0 THEN least(50.0, greatest(1.0, noise * room / (spread - noise * (hosts - 1)) - 1)) ELSE 50.0 END AS t FROM v),
-sx AS (SELECT suffix, (sum(good) + any_value(t) * any_value(mean)) / (sum(n) + any_value(t)) AS s_mean FROM c, w GROUP BY suffix),
-dx AS (SELECT domain, (sum(good) + any_value(t) * any_value(s_mean)) / (sum(n) + any_value(t)) AS d_mean FROM c JOIN sx USING (suffix), w GROUP BY domain),
-b AS (SELECT k.host, t, coalesce(n, 0) AS n, (coalesce(good, 0) + t * coalesce(d_mean, s_mean, mean)) / (coalesce(n, 0) + t) AS pm FROM k LEFT JOIN sx USING (suffix) LEFT JOIN dx USING (domain) LEFT JOIN c USING (host), w),
-z AS (SELECT host, round(pm, 6) AS posterior_mean, round(pm - 1.645 * sqrt(pm * (1 - pm) / (n + t + 1)), 6) AS bound FROM b)
+e AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM c),
+s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(mean) AS up FROM c, e GROUP BY suffix),
+st AS (SELECT {_strength("up")} AS t FROM s0),
+sx AS (SELECT suffix, (good + t * up) / (n + t) AS s_mean FROM s0, st),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good, any_value(s_mean) AS up FROM c JOIN sx USING (suffix) GROUP BY domain, suffix),
+dt AS (SELECT {_strength("up")} AS t FROM d0),
+dx AS (SELECT domain, (good + t * up) / (n + t) AS d_mean FROM d0, dt),
+h0 AS (SELECT host, n, good, d_mean AS up FROM c JOIN dx USING (domain)),
+w AS (SELECT {_strength("up")} AS t FROM h0),
+b AS (SELECT k.host, t, coalesce(n, 0) AS n, coalesce(good, 0) AS good, coalesce(d_mean, s_mean, mean) AS up FROM k LEFT JOIN sx USING (suffix) LEFT JOIN dx USING (domain) LEFT JOIN c USING (host), w, e),
+ab AS (SELECT host, (good + t * up) / (n + t) AS pm, good + t * up AS a, n - good + t * (1 - up) AS b FROM b),
+cells AS (SELECT host, pm, i, (a - 1) * ln((i + 0.5) / {url_filters.CELLS}) + (b - 1) * ln(1 - (i + 0.5) / {url_filters.CELLS}) AS l FROM ab, (SELECT unnest(range(0, {url_filters.CELLS})) AS i)),
+g AS (SELECT host, pm, i, exp(l - max(l) OVER (PARTITION BY host)) AS x FROM cells),
+u2 AS (SELECT host, pm, sum(x) OVER (PARTITION BY host ORDER BY i) AS upto, sum(x) OVER (PARTITION BY host) AS every FROM g),
+z AS (SELECT host, round(any_value(pm), 6) AS posterior_mean, round(count(*) FILTER (upto < {url_filters.QUANTILE} * every) / {url_filters.CELLS}, 6) AS bound FROM u2 GROUP BY host)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, posterior_mean, bound
 FROM p JOIN z USING (host) LEFT JOIN m USING (page_id)
 """
@@ -131,7 +147,7 @@ _CONTROL = r"\### Assistant: </turn> ok"
 )
 def op6_chat_formatting(spark, sf_dir):
     """All conversations and the fixed one, formatted, then read back into digests."""
-    turns = chat.turns_of_table(table(spark, sf_dir, "conversations"))
+    turns = chat.turns_of_table(table(spark, sf_dir, "conversations"), layout="rows")
     fixed = spark.createDataFrame([(-7, [("user", _CONTROL), ("assistant", _CONTROL)])], "conv_id long, messages array<struct<role: string, content: string>>")
     turns = turns.unionByName(chat.turns_of_table(fixed))
     return chat.digests(chat.format_turns(turns))

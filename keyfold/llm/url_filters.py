@@ -1,9 +1,10 @@
 """URL filters by Empirical-Bayes host reputation (DataFrame operations only).
 
-Labelled page outcomes are counted by host. A host's rate is shrunk by a
-beta-binomial prior whose mean is its registered domain's shrunk rate, which in
-turn is shrunk towards its suffix, and that towards all hosts. A page passes if
-the lower bound of its host's posterior rate of good pages reaches a threshold.
+Labelled page outcomes are counted by host. Three beta-binomial priors shrink
+them: a suffix's rate towards that of all pages, a registered domain's towards
+its suffix's, a host's towards its domain's; the strength of each prior is
+estimated from the rates of its own level. A page passes if the lower quantile
+of its host's beta posterior reaches a threshold.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Suffixes of two labels; a parameter, as lists of public suffixes are.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz")
-#: Bounds on the estimated strength of the prior.
-LEAST, MOST = 1.0, 50.0
+from .common import Scratch
+
+#: Second labels under which countries register names (with a country's two-letter label: a suffix of two labels).
+SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "id", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch")
+#: Bounds on the estimated strengths of the priors, cells of the grid on which posteriors are summed, the quantile.
+LEAST, MOST, CELLS, QUANTILE = 1.0, 50.0, 400, 0.05
 #: (host, path prefix, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
@@ -33,13 +36,30 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return _ascii_lower(host), path
 
 
-def domain_of(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host."""
+def domain_of(host: Column, second: Sequence[str] = SECOND_LABELS) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host: a suffix has two labels under a country's second label, else one."""
     last2, last3 = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    two = last2.isin(*suffixes)
+    two = last2.rlike(rf"^(?:{'|'.join(second)})\.[a-z]{{2}}$")
     return F.when(two, last3).otherwise(last2), F.when(two, last2).otherwise(F.substring_index(host, ".", -1))
 
 
+def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Adds ``domain`` and ``suffix`` to rows of distinct ``host``.
+
+    ``suffixes``: a table of public suffixes (``suffix``, of up to four labels,
+    lower case); the longest that ends a host counts, and a host that none ends
+    goes by the rule of ``domain_of``. Without a table all go by the rule.
+    """
+    domain, suffix = domain_of(F.col("host"))
+    if suffixes is None:
+        return hosts.withColumns({"domain": domain, "suffix": suffix})
+    ends = hosts.select("host", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("labels")).select("host", "labels", F.substring_index("host", ".", -F.col("labels")).alias("suffix"))
+    listed = ends.join(suffixes.select("suffix").distinct(), "suffix").groupBy("host").agg(F.max("labels").alias("labels"))
+    held = hosts.join(listed, "host", "left")
+    longer = F.substring_index("host", ".", -F.col("labels") - 1)
+    return held.select(*hosts.columns, F.coalesce(longer, domain).alias("domain"), F.coalesce(F.substring_index("host", ".", -F.col("labels")), suffix).alias("suffix"))
+
+
 def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits (host and its subdomains, path prefix) and its verdict.
 
@@ -52,73 +72,84 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return name, verdict
 
 
-def host_counts(labelled: DataFrame) -> DataFrame:
+def host_counts(labelled: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """``host, n, good, domain, suffix`` from rows of ``host, good_page`` (boolean).
 
     Rows with a null outcome take no part; a null host counts as the empty one.
     """
-    domain, suffix = domain_of(F.col("host"))
     by_host = labelled.where(F.col("good_page").isNotNull()).groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("n"), F.count_if("good_page").alias("good"))
-    return by_host.withColumns({"domain": domain, "suffix": suffix})
+    return with_domains(by_host, suffixes)
 
 
-def estimate_prior(counts: DataFrame) -> tuple[float, float]:
-    """Mean and strength (pseudo-counts) of the beta-binomial law over hosts, by moments.
+def strength_of(counts: DataFrame, above: str) -> float:
+    """Pseudo-counts of the beta-binomial prior of one level's rates around the rate ``above`` each, by moments.
 
-    The strength follows from the weighted variance of the hosts' rates beyond
-    what the binomial law gives; it is kept between LEAST and MOST pseudo-counts.
-    Two aggregates, each of one row.
+    ``counts``: ``n, good`` and the rate above. The share of the variance beyond
+    the binomial law is the weighted sum of squares less what that law gives,
+    over what full correlation inside a group would add; the strength is kept
+    between LEAST and MOST. One aggregate of one row.
     """
-    n, good = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    mean = (good + 1) / (n + 2)
-    spread, squares, hosts = counts.agg(F.coalesce(F.sum(F.pow(F.col("good") - F.col("n") * mean, 2) / F.col("n")), F.lit(0.0)), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)), F.count("*")).first()
-    noise = mean * (1 - mean)
-    room = n - squares / n - (hosts - 1) if n else 0
-    rho = (spread - noise * (hosts - 1)) / (noise * room) if room > 0 else 0
-    return mean, min(MOST, max(LEAST, 1 / rho - 1)) if rho > 0 else MOST
+    noise = F.col(above) * (1 - F.col(above))
+    spread, room = counts.agg(F.sum(F.pow(F.col("good") - F.col("n") * F.col(above), 2) / F.col("n") - noise), F.sum(noise * (F.col("n") - 1))).first()
+    return min(MOST, max(LEAST, room / spread - 1)) if spread and spread > 0 and room > 0 else MOST
 
 
-def posterior(good: Column, n: Column, mean: Column, strength: float) -> Column:
+def shrunk(good: Column, n: Column, above: Column, strength: float) -> Column:
     """Mean of the beta posterior."""
-    return (good + strength * mean) / (n + strength)
+    return (good + strength * above) / (n + strength)
 
 
-def bound(mean: Column, n: Column, strength: float, z: float) -> Column:
-    """Lower bound: mean minus z standard deviations of the beta law with n + strength pseudo-counts."""
-    return mean - z * F.sqrt(mean * (1 - mean) / (n + strength + 1))
+def lower_quantile(a: Column, b: Column, quantile: float = QUANTILE) -> Column:
+    """The lower quantile of the beta law with parameters a and b, to a cell of a grid.
+
+    The density is summed at the middles of CELLS cells; the result is the lower
+    end of the first cell up to whose end at least ``quantile`` of the sum lies.
+    """
+    cells = F.sequence(F.lit(0), F.lit(CELLS - 1))
+    log = F.transform(cells, lambda i: (a - 1) * F.log((i + 0.5) / CELLS) + (b - 1) * F.log(1 - (i + 0.5) / CELLS))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("below"))
+
+    def density(held: Column) -> Column:
+        top = F.array_max(held)
+        w = F.transform(held, lambda x: F.exp(x - top))
+        limit = quantile * F.aggregate(w, F.lit(0.0), lambda s, x: s + x)
+        return F.aggregate(w, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["below"] + F.when(s["sum"] + x < limit, 1).otherwise(0)).alias("below")), lambda s: s["below"] / CELLS)
+
+    # one element, so that the logarithms are computed once
+    return F.element_at(F.transform(F.array(log), density), 1)
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, z: float = 1.645, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, quantile: float = QUANTILE, threshold: float = 0.5, suffixes: DataFrame | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, posterior_mean, bound`` for every row of pages.
 
     ``labelled``: rows of ``host`` and ``good_page``. A host without labelled
-    pages takes its domain's posterior, else its suffix's, else that of all.
-    Null urls have an empty host and path and are judged like other hosts.
-    Repeated rows are kept, other columns ignored, an empty table stays empty.
-    All counting is by partial aggregation; the statistics join back by host,
-    domain and suffix, and a hot host is split by the adaptive join.
+    pages has its domain's posterior mean as its prior, else its suffix's, else
+    that of all. Null urls have an empty host and path and are judged like other
+    hosts. Repeated rows are kept, other columns ignored, an empty table stays
+    empty. Counts by host are written once; they join back by host, domain and
+    suffix, one row for each host, and a hot host is split by the adaptive join.
     """
     host, path = split_url(F.col("url"))
     rule, said = match_rule(F.col("host"), F.col("path"), rules)
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    counts = host_counts(labelled)
-    everyone, strength = estimate_prior(counts)
-    suffixes = counts.groupBy("suffix").agg(F.sum("n").alias("s_n"), F.sum("good").alias("s_good")).withColumn("s_mean", posterior(F.col("s_good"), F.col("s_n"), F.lit(everyone), strength))
-    domains = counts.groupBy("domain", "suffix").agg(F.sum("n").alias("d_n"), F.sum("good").alias("d_good"))
-    domains = domains.join(suffixes.select("suffix", "s_mean"), "suffix").withColumn("d_mean", posterior(F.col("d_good"), F.col("d_n"), F.col("s_mean"), strength))
+    counts = Scratch(pages.sparkSession, "hosts").save(host_counts(labelled, suffixes))
+    n, good = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    everyone = (good + 1) / (n + 2)
+    total = (F.sum("n").alias("n"), F.sum("good").alias("good"))
+    by_suffix = counts.groupBy("suffix").agg(*total).withColumn("above", F.lit(everyone))
+    s_strength = strength_of(by_suffix, "above")
+    by_suffix = by_suffix.select("suffix", shrunk(F.col("good"), F.col("n"), F.col("above"), s_strength).alias("s_mean"))
+    by_domain = counts.groupBy("domain", "suffix").agg(*total).join(by_suffix, "suffix")
+    d_strength = strength_of(by_domain, "s_mean")
+    by_domain = by_domain.select("domain", "suffix", shrunk(F.col("good"), F.col("n"), F.col("s_mean"), d_strength).alias("d_mean"))
+    h_strength = strength_of(counts.join(by_domain.drop("suffix"), "domain"), "d_mean")
     # one row for each distinct host, so that the pages are joined once
-    hosts = parsed.select("host").distinct()
-    domain, suffix = domain_of(F.col("host"))
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix}).join(suffixes.select("suffix", "s_mean", "s_n"), "suffix", "left").join(domains.select("domain", "d_mean", "d_n"), "domain", "left").join(counts.select("host", "n", "good"), "host", "left")
+    hosts = with_domains(parsed.select("host").distinct(), suffixes)
+    hosts = hosts.join(by_suffix, "suffix", "left").join(by_domain.drop("suffix"), "domain", "left").join(counts.select("host", "n", "good"), "host", "left")
     above = F.coalesce("d_mean", "s_mean", F.lit(everyone))
     n, good = F.coalesce("n", F.lit(0)), F.coalesce("good", F.lit(0))
-    mean = posterior(good, n, above, strength)
-    hosts = hosts.select("host", mean.alias("posterior_mean"), bound(mean, n, strength, z).alias("bound"))
+    hosts = hosts.select("host", shrunk(good, n, above, h_strength).alias("posterior_mean"), (good + h_strength * above).alias("a"), (n - good + h_strength * (1 - above)).alias("b"))
+    hosts = hosts.select("host", "posterior_mean", lower_quantile(F.col("a"), F.col("b"), quantile).alias("bound"))
     judged = parsed.join(hosts, "host", "left")
     verdict = F.coalesce(said, F.when(F.col("bound") >= threshold, "allow").otherwise("block"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "posterior_mean", "bound")
-
-
-def junk_outcome(html: Column) -> Column:
-    """A page's labelled outcome from its own markup: good unless it holds runs of symbol noise."""
-    return ~F.coalesce(html, F.lit("")).rlike(r"%%%|\*{3}|\${3}|!!")
