@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, batches, may_hold, only, ready, utf8
+from .common import LOWER, Scratch, batches, free_name, may_hold, only, quoted, ready, utf8
 
 #: Words of a shard (one longer document is a shard of its own), and every how many positions are sampled.
 SHARD_WORDS, SAMPLE = 1_500_000, 8
-#: Bytes of benchmark text that one pass over the documents searches for.
-BENCH_BYTES = 32_000_000
+#: Bytes of benchmark text that one pass over the documents searches for; its windows are bounded by it.
+BENCH_BYTES = 8_000_000
 
 #: Bytes 0-9, a-z and all outside ASCII make words; A-Z is lowered before.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -128,7 +128,7 @@ class FMIndex:
             live = live[(lengths[live] > step) & (low[live] < high[live])]
             if not len(live):
                 break
-            c = phrases[live, phrases.shape[1] - 1 - step]
+            c = phrases[live, phrases.shape[1] - 1 - step].astype(np.int64)
             low[live] = self.starts[c] + self.bwt.rank(c, low[live])
             high[live] = self.starts[c] + self.bwt.rank(c, high[live])
         return low, high
@@ -147,22 +147,65 @@ class FMIndex:
 
 
 class Phrases:
-    """All windows of the benchmark items: distinct phrases of symbols and the items that each belongs to."""
+    """All windows of the benchmark items: distinct phrases of symbols and the items that each belongs to.
+
+    Held as flat arrays: the items' symbols, each phrase's first place among
+    them and its length, and the numbers of its items. For a block of
+    BENCH_BYTES these are some tens of MB at most; the matrix of phrases (40
+    bytes each) is made where it is searched with.
+    """
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], width: int):
-        vocab: dict[bytes, int] = {}
-        owners: dict[tuple, set] = defaultdict(set)
-        for item, data in items:
-            w = [vocab.setdefault(x, len(vocab) + 1) for x in split_words(data)]
-            for i in range(max(1, len(w) - width + 1) if w else 0):
-                owners[tuple(w[i : i + width])].add(item)
-        self.vocab, self.sigma = vocab, len(vocab) + 1
-        keys = sorted(owners)
-        self.owners = [sorted(x for x in owners[k] if x is not None) for k in keys]
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        self.matrix = np.zeros((len(keys), width), np.int64)
-        for i, k in enumerate(keys):
-            self.matrix[i, width - len(k) :] = k
+        self.vocab: dict[bytes, int] = {}
+        vocab, cut = self.vocab, []
+        for _, data in items:
+            w = split_words(data)
+            cut.append(np.fromiter((vocab.setdefault(x, len(vocab) + 1) for x in w), np.int32, len(w)))
+        self.sigma, self.width = len(vocab) + 1, width
+        sizes = np.array([len(c) for c in cut], np.int64)
+        self.symbols = np.concatenate([*cut, np.zeros(0, np.int32)])
+        windows = np.where(sizes > 0, np.maximum(1, sizes - width + 1), 0)
+        item = np.repeat(np.arange(len(items)), windows)
+        at = (np.cumsum(sizes) - sizes)[item] + np.arange(len(item)) - (np.cumsum(windows) - windows)[item]
+        lengths = np.minimum(sizes, width)[item]
+        m = self._matrix(at, lengths)
+        order = np.lexsort(m.T)
+        new = np.ones(len(order), bool)
+        new[1:] = (m[order[1:]] != m[order[:-1]]).any(1)
+        self.starts, self.lengths = at[order[new]].astype(np.int32), lengths[order[new]].astype(np.int32)
+        # items without an id are searched for and not listed
+        ids = {x: k for k, x in enumerate(sorted({i for i, _ in items if i is not None}))}
+        self.ids = np.array(list(ids), np.int64)
+        number = np.array([ids.get(i, -1) for i, _ in items], np.int64)[item[order]] if len(order) else np.zeros(0, np.int64)
+        pairs = np.unique(((np.cumsum(new) - 1) * max(1, len(ids)) + number)[number >= 0])
+        self.owner = (pairs % max(1, len(ids))).astype(np.int32)
+        self.owner_at = np.searchsorted(pairs, np.arange(len(self.starts) + 1) * max(1, len(ids))).astype(np.int64)
+        self._made = None
+
+    def _matrix(self, starts, lengths) -> np.ndarray:
+        """Symbols of phrases, right-aligned."""
+        out = np.zeros((len(starts), self.width), np.int32)
+        for k in range(1, self.width + 1):  # the k-th symbol from the end
+            has = lengths >= k
+            out[has, self.width - k] = self.symbols[(starts + lengths - k)[has]]
+        return out
+
+    @property
+    def matrix(self) -> np.ndarray:
+        if self._made is None:
+            self._made = self._matrix(self.starts.astype(np.int64), self.lengths)
+        return self._made
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_made": None}
+
+    def items_of(self, phrase: int) -> list[int]:
+        """The ids of a phrase's items, sorted."""
+        return self.ids[self.owner[self.owner_at[phrase] : self.owner_at[phrase + 1]]].tolist()
+
+    def nbytes(self) -> int:
+        """Bytes of the arrays, and about those of the words."""
+        return sum(x.nbytes for x in (self.symbols, self.starts, self.lengths, self.owner, self.owner_at, self.ids)) + sum(150 + len(w) for w in self.vocab)
 
 
 def find_in_shard(docs: list[tuple[int, list[bytes] | np.ndarray]], phrases: Phrases) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set]]:
@@ -193,7 +236,7 @@ def find_in_shard(docs: list[tuple[int, list[bytes] | np.ndarray]], phrases: Phr
     ends = np.cumsum([n for _, n in owner])
     doc = np.searchsorted(ends, at, side="right")
     spans, items = defaultdict(list), defaultdict(set)
-    starts, lengths = place[at], phrases.lengths[which]
+    starts, lengths = place[at], phrases.lengths[which].astype(np.int64)
     order = np.lexsort((starts, doc))
     for i in order:
         d = owner[doc[i]][0]
@@ -204,7 +247,7 @@ def find_in_shard(docs: list[tuple[int, list[bytes] | np.ndarray]], phrases: Phr
         else:
             held.append((a, b))
     for d, w in set(zip(doc.tolist(), which.tolist())):
-        items[owner[d][0]].update(phrases.owners[w])
+        items[owner[d][0]].update(phrases.items_of(w))
     return spans, items
 
 
@@ -315,15 +358,16 @@ def clean_texts(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: st
     where the texts are. Rows without a hit, null texts included, are unchanged.
     A benchmark beyond BENCH_BYTES is searched block after block, each in a pass
     over the documents as they came; the spans are merged and cut out at once.
+    Repeated rows and null keys are rows like others, other columns may have any
+    names, and an empty table or benchmark changes nothing.
     """
     spark = docs.sparkSession
     ready(spark)
     columns, schema = docs.columns, docs.schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     at = columns.index(text)
     blocks = _blocks(benchmark, "item_id", "text")
     if len(blocks) > 1:
-        row, spans = (next(n for k in range(len(columns) + 1) if (n := f"_{name}{k}") not in columns) for name in ("row", "spans"))
+        row, spans = free_name(columns, "row"), free_name(columns, "spans")
         scratch = Scratch(spark, "decontamination")
         docs = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
         found = _found_by_row(docs.select(F.col(row).alias("row"), utf8(text).alias("data")), blocks, width)
@@ -338,9 +382,9 @@ def clean_texts(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: st
                 yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
 
         # whole texts are shuffled only where the row may have a span
-        held = docs.where(suspect)
-        hit = held.join(found, row).select(*columns, spans).mapInArrow(cut, ddl)
-        return docs.where(~suspect).select(*columns).unionByName(held.join(found, row, "left_anti").select(*columns)).unionByName(hit)
+        held, names = docs.where(suspect), [quoted(c) for c in columns]
+        hit = held.join(found, row).select(*names, spans).mapInArrow(cut, schema)
+        return docs.where(~suspect).select(*names).unionByName(held.join(found, row, "left_anti").select(*names)).unionByName(hit)
     held = spark.sparkContext.broadcast(Phrases(blocks[0], width))  # bounded by BENCH_BYTES
 
     def run(source):
@@ -364,4 +408,4 @@ def clean_texts(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: st
                 yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
                 start = end
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, schema)
