@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, Scratch, batches, mix, utf8
 
-#: Context bytes; segments of contexts; strings of a segment whose scores are sent to the workers.
-DEPTH, SEGMENTS, SENT = 5, 256, 16_384
+#: Context bytes; fewest and most segments of contexts, and bytes of input for each; of SEGMENTS segments, the
+#: strings of each whose scores are sent to the workers (with more segments, so many fewer of each).
+DEPTH, SEGMENTS, MOST_SEGMENTS, SEGMENT_BYTES, SENT = 5, 256, 65_536, 16_000_000, 16_384
 #: Words whose counts are sent to the workers; the rest are joined.
 HEAVY, HEAVY_BYTES = 65_536, 256
 _CHUNK = 4_000_000
@@ -57,8 +58,14 @@ def _add_up(keys: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarr
     return _sum_nodes(np.concatenate(keys), *(np.concatenate(c) for c in counts))
 
 
-def _segment(g: np.ndarray) -> np.ndarray:
-    return (mix((g >> U64(8)) & U64(0xFFFFFF)) % U64(SEGMENTS)).astype(np.int32)
+def _segment(g: np.ndarray, segments: int) -> np.ndarray:
+    return (mix((g >> U64(8)) & U64(0xFFFFFF)) % U64(segments)).astype(np.int32)
+
+
+def _segments(texts: DataFrame) -> int:
+    """How many segments; by the planner's estimate of the input's size, which no result hangs on."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_SEGMENTS, max(SEGMENTS, size // SEGMENT_BYTES))
 
 
 def _text_groups(column, size: int):
@@ -75,7 +82,7 @@ def _text_groups(column, size: int):
         yield held
 
 
-def _count_grams(source):
+def _count_grams(source, segments: int):
     """Rows (held_out, data): distinct strings by segment, how often in training texts and in all."""
     keys, train, every, n = [], [], [], 0
     for b in source:
@@ -94,14 +101,14 @@ def _count_grams(source):
                 k, t, e = _add_up(keys, train, every)
                 keys, train, every, n = [k], [t], [e], len(k)
                 if n > _CHUNK:
-                    yield from _by_segment(k, t, e)
+                    yield from _by_segment(segments, k, t, e)
                     keys, train, every, n = [], [], [], 0
     if keys:
-        yield from _by_segment(*_add_up(keys, train, every))
+        yield from _by_segment(segments, *_add_up(keys, train, every))
 
 
-def _by_segment(k, *counts):
-    seg = _segment(k)
+def _by_segment(segments, k, *counts):
+    seg = _segment(k, segments)
     order = np.argsort(seg, kind="stable")
     seg, columns = seg[order], [x[order] for x in (k, *counts)]
     first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
@@ -254,7 +261,8 @@ def _deep(grams, train) -> list[_Table]:
 
 def grow(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[_Table]]:
     """From rows of ``held_out, data``: all strings, a row for each segment, and the tables of depths 0 to 2."""
-    counted = texts.select("held_out", "data").mapInArrow(_count_grams, "seg int, grams binary, train binary, every binary")
+    segments = _segments(texts)
+    counted = texts.select("held_out", "data").mapInArrow(lambda source: _count_grams(source, segments), "seg int, grams binary, train binary, every binary")
     made = scratch.save(counted.repartition("seg").sortWithinPartitions("seg").mapInArrow(_weigh_segments, _SEGMENT_DDL))
     # depth 2 has 65,536 contexts of 255 nodes at most
     two = made.where("grams is null").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("key").toArrow()
@@ -273,8 +281,8 @@ def train(texts: DataFrame, scratch: Scratch) -> ContextTree:
     return ContextTree([*shallow, *_deep(grams, counts)])
 
 
-def _score_strings(shallow):
-    """mapInArrow function over segments: every string's log10 probability, the most frequent strings apart."""
+def _score_strings(shallow, most: int):
+    """mapInArrow function over segments: every string's log10 probability, the ``most`` frequent strings apart."""
 
     def run(source):
         for b in source:
@@ -282,7 +290,7 @@ def _score_strings(shallow):
                 g, t, e = (np.frombuffer(x.as_py(), kind) for x, kind in zip(blobs, (U64, np.int64, np.int64)))
                 tree = ContextTree([*shallow.value, *_deep(g, t)])
                 sent = np.zeros(len(g), bool)
-                sent[np.argsort(-e, kind="stable")[:SENT]] = True
+                sent[np.argsort(-e, kind="stable")[:most]] = True
                 for at in range(0, len(g), 262_144):
                     k, s = g[at : at + 262_144], sent[at : at + 262_144]
                     v = tree.log10(k)
@@ -377,12 +385,13 @@ def _count_words(source):
 
 
 def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte`` for every row.
 
     Learns from the rows that are not held out. Null and empty texts have the
     end token alone and are scored for it. ``score`` is log10 of the tree's
     probability of the lower-cased (A-Z) UTF-8 bytes and an end;
-    ``score`` * -log2(10) / bytes is the code length per byte. Repeated rows and
+    ``bits_per_byte`` is the code length for each of the ``n_bytes`` bytes, null
+    where there are none. Repeated rows and
     null keys are rows like others; an empty table gives no rows. Whole texts
     are read; the smoothing of ``base_score`` is the contract's.
     """
@@ -392,7 +401,8 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     # a null text teaches the tree nothing, but its end is scored like any other
     strings, shallow = grow(slim.select((F.col("held_out") | F.col("data").isNull()).alias("held_out"), "data"), scratch)
     shallow = spark.sparkContext.broadcast(shallow)  # depths 0 to 2
-    valued = scratch.save(strings.mapInArrow(_score_strings(shallow), "sent boolean, grams binary, scores binary"))
+    most = -(-SENT * SEGMENTS // _segments(slim))
+    valued = scratch.save(strings.mapInArrow(_score_strings(shallow, most), "sent boolean, grams binary, scores binary"))
     got = valued.where("sent").select("grams", "scores").toArrow()  # SEGMENTS * SENT at most
     k, v = (np.frombuffer(b"".join(got.column(n).to_pylist()), kind) for n, kind in (("grams", U64), ("scores", np.float64)))
     order = np.argsort(k)
@@ -403,7 +413,7 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     below = total + 0.1 * (distinct + 1)
     heavy = {r[0].encode(): r[1] for r in counts.where(F.octet_length("word") <= HEAVY_BYTES).orderBy(F.desc("everywhere"), "word").limit(HEAVY).select("word", "c").collect()}
     known = spark.sparkContext.broadcast(heavy)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))), ("grams", pa.binary()), ("gram_tf", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))), ("grams", pa.binary()), ("gram_tf", pa.binary())])
 
     def run(source):
         scorer = _Scorer(sent.value)
@@ -430,13 +440,13 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             for texts in _text_groups(b.column(2), _CHUNK // 2):
                 for t, s, more in zip(texts, *scorer(texts)):
                     n, n_known, base, rest = words_of(t)
-                    yield ids[at], outs[at], n, n_known, base, float(s), rest, *more
+                    yield ids[at], outs[at], n, len(t), n_known, base, float(s), rest, *more
                     at += 1
 
         for b in source:
             yield from batches(rows(b), schema, 2_000)
 
-    scored = scratch.save(slim.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<word: string, tf: long>>, grams binary, gram_tf binary").withColumn("rid", F.monotonically_increasing_id()))
+    scored = scratch.save(slim.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, rest array<struct<word: string, tf: long>>, grams binary, gram_tf binary").withColumn("rid", F.monotonically_increasing_id()))
     rest = scored.select("rid", F.explode("rest").alias("r")).select("rid", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
     rest = rest.join(counts.select("word", "c"), "word").select("rid", (F.col("tf") * F.log10((F.col("c") + 0.1) / F.lit(below))).alias("more"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("more_known"), F.lit(0.0).alias("more_score"))
     others = scored.where(F.octet_length("grams") > 0).select("rid", "grams", "gram_tf").mapInArrow(_spread(np.int64, ["rid", "gram", "tf"]), "rid long, gram long, tf long")
@@ -444,4 +454,6 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     others = others.join(scores, "gram").select("rid", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("more_known"), (F.col("tf") * F.col("s")).alias("more_score"))
     rest = rest.unionByName(others).groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("more", "more_known", "more_score")])
     out = scored.drop("rest", "grams", "gram_tf").join(rest, "rid", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
+    score, n_known = F.col("score") + F.coalesce("more_score", F.lit(0.0)), F.col("known") + F.coalesce("more_known", F.lit(0))
+    bits = F.when(F.col("n_bytes") > 0, -F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes"))
+    return out.select("doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score"), "n_bytes").withColumn("bits_per_byte", bits)
