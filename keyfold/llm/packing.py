@@ -55,7 +55,7 @@ class LocalSearch:
     """Moves between underfull bins that increase the sum of squared fills."""
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int):
-        self.n, self.bins, self.cap = np.asarray(lengths, np.int64), [list(b) for b in bins], capacity
+        self.n, self.bins, self.cap, self.moves = np.asarray(lengths, np.int64), [list(b) for b in bins], capacity, 0
         self.fill = np.array([self.n[b].sum() for b in bins], np.int64)
         self.of = np.zeros(len(self.n), np.int64)  # the bin of each piece
         for k, b in enumerate(bins):
@@ -65,6 +65,7 @@ class LocalSearch:
         self.place = self.n + capacity - self.held
 
     def _apply(self, a: int, b: int, out: list[int], back: list[int]) -> None:
+        self.moves += 1
         for one, other, go in ((a, b, out), (b, a, back)):
             self.bins[one] = [i for i in self.bins[one] if i not in go]
             self.bins[other] += go
