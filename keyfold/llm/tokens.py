@@ -5,13 +5,13 @@ that the library gives back as exactly one token, and as one pre-token, are
 proven whole. A pre-token found among them counts one and is never merged; only
 the other pre-tokens go through the library's merges.
 
-A text is split at plain spaces, line ends and tabs first: the library's own
-pre-tokenizer never joins text across them, and normalisation does not either.
-What a piece between them counts is remembered, in a store of bounded size.
+No pre-token reaches across spaces, line ends and tabs, and normalisation does
+not either. What a pre-token counts is remembered, in a store of bounded size.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -19,19 +19,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from .common import only, ready, store
 
 #: Entries of a worker's stores, and bytes of pieces and ids in them.
 MEMO, HELD_BYTES = 400_000, 32_000_000
-#: Pieces cut here, and the pre-tokenizer's pattern for them (fixed values).
+#: What a vocabulary file must say of its pre-tokenizer and normaliser (fixed values): pieces are cut by them here.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+#: Pieces cut here, and that pattern for them.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_TEXT = re.compile("[ \n\t\r!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_SPACE = re.compile("[ \n\t\r]")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
 
 
 def prove_whole(path: str) -> dict[str, int]:
-    """Pre-tokens (in the vocabulary's byte alphabet) proven to encode alone as one token, with its id."""
+    """Pre-tokens (in the vocabulary's byte alphabet) proven to encode alone as one token, with its id.
+
+    A vocabulary with another pre-tokenizer or normaliser than the one that
+    pieces are cut by here is refused.
+    """
     tok = Tokenizer.from_file(path)
+    said = json.loads(tok.to_str())
+    steps = (said["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    normal = [x["type"] for x in (said["normalizer"] or {}).get("normalizers") or ()]
+    if steps[0].get("pattern") != {"Regex": _SPLIT} or [x["type"] for x in steps] != ["Split", "ByteLevel"] or normal != _NORMAL:
+        raise ValueError(f"{path}: pieces are cut by another pre-tokenizer or normaliser")
     suffix = tok.model.end_of_word_suffix or ""
     alphabet = _byte_alphabet()
     special = {t.content for t in tok.get_added_tokens_decoder().values()}
@@ -63,12 +78,13 @@ def _byte_alphabet() -> dict[str, int]:
 class WholeTokenEncoder:
     """Ids of whole texts as the library gives them, without added special tokens.
 
-    Pieces new to the store are cut into pre-tokens. Proven ones have their id
-    at once; the others of a batch go through the library's merges together,
-    side by side, separated by spaces. Pieces of ASCII and Latin-1 letters, digits
-    and ASCII marks are cut here by the pre-tokenizer's pattern (no normalisation
-    changes them but lower case); any other piece is left to the library's own
-    normaliser and pre-tokenizer.
+    A text of ASCII and Latin-1 letters, digits, ASCII marks and plain white
+    space is cut by the pre-tokenizer's pattern here (no normalisation changes it
+    but lower case). Of any other text, pieces between spaces that are like that
+    are; the other pieces, and those that hold a special string, are left to the
+    library's own steps. Pre-tokens proven whole have their id at once; the
+    others new to the store go through the library's merges together: every
+    word's last token has the vocabulary's word-end mark.
     """
 
     def __init__(self, path: str, whole: dict[str, int]):
@@ -79,8 +95,15 @@ class WholeTokenEncoder:
         alphabet = _byte_alphabet()
         self.proven = {bytes(alphabet[c] for c in form).decode(): np.asarray([i], "<u4").tobytes() for form, i in whole.items()}
         self.by_form = {form: np.asarray([i], "<u4").tobytes() for form, i in whole.items()}
-        self.pieces: dict[str, bytes] = {}
-        self.pre_tokens: dict[str, bytes] = {}
+        # merges alone: words already in the byte alphabet, between spaces
+        self.merges = Tokenizer(self.tok.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        by_byte = {b: c for c, b in alphabet.items()}
+        self.forms = {i: "".join(by_byte[b] for b in chr(i).encode()) for i in range(33, 256)}
+        vocab, suffix = self.tok.get_vocab(with_added_tokens=True), self.tok.model.end_of_word_suffix
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.is_end[[i for s, i in vocab.items() if s.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
         self.held = 0
 
     def _other(self, piece: str) -> bytes:
@@ -96,64 +119,57 @@ class WholeTokenEncoder:
         """Merges of unproven pre-tokens, all at once."""
         for at in range(0, len(pre_tokens), 20_000):
             part = pre_tokens[at : at + 20_000]
-            e = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ids, words = np.asarray(e.ids, "<u4").tobytes(), np.asarray(e.word_ids, np.int64)
-            ends = np.flatnonzero(np.diff(words, append=-1)) + 1
+            forms = " ".join(p if p.isascii() else p.translate(self.forms) for p in part)
+            ids = np.asarray(self.merges.encode_batch_fast([forms], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.is_end[ids]) + 1)
             if len(ends) != len(part):
                 raise ValueError("a pre-token was cut again")
-            start = 0
-            for p, end in zip(part, (4 * ends).tolist()):
-                self.pre_tokens[p] = ids[start:end]
+            start, data = 0, ids.tobytes()
+            for p, end in zip(part, ends.tolist()):
+                self.known[p] = data[start:end]
                 start = end
 
-    def _learn(self, new: list[str], special: bool) -> None:
-        """Ids of pieces that the store lacks; ``special``: special strings are somewhere in the texts."""
-        whole, cut, unknown = [], [], set()
-        proven, known, pieces, plain = self.proven, self.pre_tokens, self.pieces, _PLAIN.fullmatch
-        for piece in new:
-            if not plain(piece) or special and any(s in piece for s in self.special):
-                pieces[piece] = self._other(piece)
-                continue
-            low = piece.lower()
-            if low.isalpha():  # one pre-token
-                if low in proven:
-                    pieces[piece] = proven[low]
-                else:
-                    whole.append((piece, low))
-                    if low not in known:
-                        unknown.add(low)
-                continue
-            pre = (low[:-1], low[-1]) if low[:-1].isalpha() else _CUT.findall(low)  # a word and one mark or digit
-            cut.append((piece, pre))
-            for p in pre:
-                if p not in proven and p not in known:
-                    unknown.add(p)
-        self._merge(list(unknown))
-        for piece, low in whole:
-            pieces[piece] = known[low]
-        for piece, pre in cut:
-            pieces[piece] = b"".join([proven[p] if p in proven else known[p] for p in pre])
-        self.held += sum(map(len, new)) + sum(len(pieces[p]) for p in new)
+    def _learn(self, new: set[str]) -> None:
+        """Ids of pre-tokens, and of pieces marked by a space, that the store lacks."""
+        proven, known, unknown = self.proven, self.known, []
+        for p in new:
+            if p in proven:
+                known[p] = proven[p]
+            elif p[0] == " ":
+                known[p] = self._other(p[1:])
+            else:
+                unknown.append(p)
+        self._merge(unknown)
+        self.held += sum(map(len, new)) + sum(len(known[p]) for p in new)
+
+    def _pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text that is not plain as a whole, and its other pieces, marked by a space."""
+        out: list[str] = []
+        for piece in _SPACE.split(text):
+            if _PLAIN.fullmatch(piece) and not any(s in piece for s in self.special):
+                out += _CUT.findall(piece.lower())
+            else:
+                out.append(" " + piece)
+        return out
 
     def _cut(self, texts: list[str]) -> list[list[str]]:
-        if len(self.pieces) > MEMO or len(self.pre_tokens) > MEMO or self.held > HELD_BYTES:
-            self.pieces, self.pre_tokens, self.held = {}, {}, 0
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*cut).difference(self.pieces)
-        if new:
-            self._learn(list(new), any(s in t for t in texts for s in self.special))
+        if len(self.known) > MEMO or self.held > HELD_BYTES:
+            self.known, self.held = {}, 0
+        cut = [_CUT.findall(t.lower()) if _TEXT.fullmatch(t) and not any(s in t for s in self.special) else self._pieces(t) for t in texts]
+        if new := set().union(*cut).difference(self.known):
+            self._learn(new)
         return cut
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         cut = self._cut(texts)
-        get = self.pieces.__getitem__
+        get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
     def count_many(self, texts: list[str]) -> list[int]:
         """The number of each text's ids."""
         cut = self._cut(texts)
-        get = self.pieces.__getitem__
+        get = self.known.__getitem__
         return [sum(map(len, map(get, c))) // 4 for c in cut]
 
     def ids(self, text: str) -> bytes:
