@@ -117,7 +117,22 @@ def op4_ctw_scoring(spark, sf_dir):
     return ctw.score_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op5_circulant_minhash")
+_OP5 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x, len(w) AS size FROM d),
+g AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, i, size, concat_ws(' ', x, lead(x, 1) OVER q, lead(x, 2) OVER q) AS g FROM t WINDOW q AS (PARTITION BY doc_id ORDER BY i)) WHERE i <= greatest(1, size - 2)),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+x AS (SELECT doc_id, n, g FROM g JOIN s USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (na + nb - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id <= coalesce(least, doc_id) AS kept FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN m ON a = doc_id
+"""
+
+
+@query("op5_circulant_minhash", _OP5)
 def op5_circulant_minhash(spark, sf_dir):
     """Components of documents whose 3-word shingle sets are similar to 85 in 100."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
