@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyfold.functions.text import field
+from keyfold.session import scratch_path
 
 #: Field positions (from 0) and types of the data sets that the jobs read.
 SCHEMAS: dict[str, tuple[str, dict[str, tuple[int, str]]]] = {
@@ -44,19 +45,29 @@ def read_dataset(spark: SparkSession, kind: str, paths: str | list[str], permiss
     return raw.withColumnRenamed("value", "line") if kind == "text" else project(raw, sep, fields, permissive)
 
 
-def round_robin(df: DataFrame, splits: int, *order) -> DataFrame:
-    """Adds ``split``: the row's number in the given order modulo the number of splits.
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """Adds ``_place``: the row's number (from 0) in the given order, and ``_block``, the part of the order that it lies in.
 
-    The number comes from range-partitioned order statistics, not from one
-    global window: rows are ranked within blocks of the order, and the blocks'
-    sizes are added up.
+    The rows are dealt by ranges of the order, sorted in their partitions and
+    written once with the partition's number and the place in it, so that both
+    are the same whenever they are read; the blocks' sizes are added up. No
+    window goes over all rows.
     """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "numbered")
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(*cols).withColumn("_block", F.spark_partition_id())
-    sizes = ranged.groupBy("_block").agg(F.count("*").alias("_n"))
+    ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    held = spark.read.schema(ranged.schema).parquet(path)
+    block, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    held = held.withColumns({"_block": block, "_in": place}).drop("_at")
+    sizes = held.groupBy("_block").agg(F.count("*").alias("_n"))
     starts = sizes.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_start"))  # a row for each partition
-    place = F.row_number().over(Window.partitionBy("_block").orderBy(*cols)) - 1
-    return ranged.withColumn("_place", place).join(F.broadcast(starts), "_block").withColumn("split", ((F.col("_start") + F.col("_place")) % splits).cast("int")).drop("_block", "_place", "_start")
+    return held.join(F.broadcast(starts), "_block").withColumn("_place", F.col("_start") + F.col("_in")).drop("_start", "_in")
+
+
+def round_robin(df: DataFrame, splits: int, *order) -> DataFrame:
+    """Adds ``split``: the row's number in the given order modulo the number of splits."""
+    return numbered(df, *order).withColumn("split", (F.col("_place") % splits).cast("int")).drop("_block", "_place")
 
 
 def presplit(spark: SparkSession, directory: str) -> DataFrame:
@@ -69,6 +80,17 @@ def archive(spark: SparkSession, path: str, columns: str, header: bool = True) -
     return spark.read.schema(columns).option("sep", ";").option("header", header).csv(path)
 
 
+def chunk_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, key, value`` of chunk files: a line with the key, then a line for each value.
+
+    A chunk's size is bounded by whoever wrote it, so a file is read as a whole.
+    A file with a key alone gives no rows; so does an empty one.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    cut = files.select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", r"\n$", ""), "\n").alias("_lines"))
+    return cut.select("file", F.get("_lines", F.lit(0)).alias("key"), F.explode(F.slice("_lines", 2, F.size("_lines"))).alias("value"))
+
+
 def parse_config(text: Iterable[str]) -> dict[str, str]:
     """``field : value`` lines; lines without a colon and comments are left out, text after a second colon is cut."""
     out = {}

@@ -26,3 +26,18 @@ def write_archive(df: DataFrame, path: str) -> None:
 def write_record(df: DataFrame, path: str) -> None:
     """A one-row record with its columns in sorted order."""
     df.select(*sorted(df.columns)).coalesce(1).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+
+
+def write_chunks(df: DataFrame, path: str) -> None:
+    """Chunk files from ``key, chunk_index, value``: a line with the key, then a line for each value, in sorted order.
+
+    One file for each key and chunk; a chunk's values are as many as the chunk size allows.
+    """
+    lines = df.groupBy("key", "chunk_index").agg(F.sort_array(F.collect_list(F.col("value").cast("string"))).alias("values"))
+    body = F.concat_ws("\n", F.col("key").cast("string"), F.array_join("values", "\n")).alias("value")
+    lines.select(F.concat_ws("_", F.col("key").cast("string"), F.col("chunk_index").cast("string")).alias("chunk"), body).write.mode("overwrite").partitionBy("chunk").text(path)
+
+
+def concatenate(df: DataFrame, path: str) -> None:
+    """All result lines (``value``) as one text file, in sorted order: a sort by ranges, and one writer that streams them."""
+    df.orderBy("value").coalesce(1).write.mode("overwrite").text(path)
