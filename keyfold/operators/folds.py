@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyfold.session import ship
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -35,10 +38,42 @@ def mean_int(x) -> Column:
     return F.call_function("div", F.sum(x), F.count(x))
 
 
-def fold(values, zero: Column, merge: Callable, finish: Callable | None = None) -> Column:
-    """Any left fold over a key's values in their sorted order, for what no built-in aggregate expresses."""
-    args = [F.array_sort(F.collect_list(_c(values))), zero, merge]
-    return F.aggregate(*args, finish) if finish else F.aggregate(*args)
+def fold_sorted(df: DataFrame, keys: Sequence[str], value: str, zero, step: Callable, finish: Callable | None = None, result: str = "bigint", name: str = "result") -> DataFrame:
+    """``keys, name``: any left fold over a key's values in their sorted order, for what no built-in aggregate expresses.
+
+    ``step`` and ``finish`` are Python functions. Values are sorted by Spark,
+    which spills, and stream through a worker that holds one state: a hot key
+    takes time and no memory. Null values come first. Folds whose states can be
+    merged go better through ``extend.run``.
+    """
+    ship(df.sparkSession)
+    n = len(keys)
+
+    def run(source):
+        done, key, state = [], None, None
+
+        def batch(kinds):
+            columns = list(zip(*done))
+            return pa.record_batch([*[pa.array(c, f.type) for c, f in zip(columns, kinds)], pa.array(columns[n])], names=[*keys, name])
+
+        for b in source:
+            kinds = list(b.schema)[:n]
+            for *k, v in zip(*(c.to_pylist() for c in b.columns)):
+                if k != key:
+                    if key is not None:
+                        done.append((*key, finish(state) if finish else state))
+                        if len(done) >= 10_000:
+                            yield batch(kinds)
+                            done.clear()
+                    key, state = k, zero
+                state = step(state, v)
+        if key is not None:
+            done.append((*key, finish(state) if finish else state))
+            yield batch(kinds)
+
+    slim = df.select(*keys, value)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:n]), f"`{name}` {result}"])
+    return slim.repartition(*keys).sortWithinPartitions(*keys, value).mapInArrow(run, schema)
 
 
 def fold_by(df: DataFrame, keys: Sequence[str], **folds: Column) -> DataFrame:
