@@ -35,3 +35,17 @@ def same_results(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) ->
     """Keys whose values differ or that one side lacks: ``keys, left_value, right_value``."""
     left, right = a.select(*keys, F.col(value).alias("left_value")), b.select(*keys, F.col(value).alias("right_value"))
     return left.join(right, list(keys), "full").where(~F.col("left_value").eqNullSafe(F.col("right_value")))
+
+
+#: Outcomes of calls for proposals, and the proposals received, in the order in which they are reported.
+NEGOTIATION = ("initiated", "canceled", "denied", "declined_by_all", "successful", "proposals")
+
+
+def negotiation_totals(log: DataFrame) -> DataFrame:
+    """One row: how often each outcome of NEGOTIATION occurs in a log's column ``outcome``."""
+    return log.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in NEGOTIATION])
+
+
+def initial_workloads(archive: DataFrame) -> DataFrame:
+    """``id, workload``: each receiver's first value in an archive of ``id, ts, value, seq``."""
+    return archive.groupBy("id").agg(F.min_by("value", F.struct("ts", "seq")).alias("workload"))

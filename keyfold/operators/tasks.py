@@ -2,8 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from keyfold.functions.text import java_hash
+from keyfold.session import ship
+from keyfold.sources.readers import numbered
+
+#: Rows of nodes, agents or loads that are broadcast, or gathered in one row; beyond it there are other ways.
+MOST_NODES = 10_000
+
+
+def few(nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
+    """A table of nodes, marked for broadcast if its rows are counted to be few; else Spark joins it by an exchange."""
+    return F.broadcast(nodes) if nodes.limit(most + 1).count() <= most else nodes
+
+
+def _ranked(loads: DataFrame, *fields: Column, most: int = MOST_NODES) -> DataFrame:
+    """One row with the sorted array of all nodes' fields: an error if there are too many nodes for one row."""
+    if (n := loads.limit(most + 1).count()) > most:
+        raise ValueError(f"at least {n} nodes, more than {most} in one row")
+    return F.broadcast(loads.groupBy().agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_ranked")))
 
 
 def chunk(df: DataFrame, key: str, size: int) -> DataFrame:
@@ -16,12 +40,38 @@ def chunk(df: DataFrame, key: str, size: int) -> DataFrame:
     return counts.select(key, "_n", index.alias("chunk_index")).select(key, "chunk_index", F.least(F.lit(size), F.col("_n") - F.col("chunk_index") * size).cast("bigint").alias("nb_values"))
 
 
+def assign_chunks(df: DataFrame, key: str, size: int, *order: str) -> DataFrame:
+    """Adds ``chunk_index``: the number (from 0) of the chunk that a row goes to, ``size`` rows of a key to each, in the given order.
+
+    Rows are numbered by ranges of key and order, so a hot key lies in many
+    partitions; a row's place in its key is its number less that of the key's
+    first row, and only a row for each key and partition is aggregated.
+    """
+    held = numbered(df, key, *order)
+    first = held.groupBy("_block", F.col(key).alias("_k")).agg(F.min("_place").alias("_p"))
+    first = first.select("_block", "_k", F.min("_p").over(Window.partitionBy("_k")).alias("_first"))
+    placed = held.join(first, (held["_block"] == first["_block"]) & held[key].eqNullSafe(first["_k"]))
+    return placed.withColumn("chunk_index", F.floor((F.col("_place") - F.col("_first")) / size).cast("int")).drop("_block", "_place", "_first", "_k")
+
+
 def replicate(df: DataFrame, factor) -> DataFrame:
     """Every row ``factor`` times (a column or a number), with the copy's number from 1; 0 drops a row."""
     n = factor if not isinstance(factor, int) else F.lit(factor)
     return df.withColumn("copy", F.explode(F.when(n >= 1, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))))
 
 
+def amplification(key: str, draw: Column, chosen: Sequence[int], classes: int, base: int, start: int, end: int) -> Column:
+    """How often a row is to be written: ``base`` times, for chosen keys ``base + start`` and a draw from 0 .. end - start more.
+
+    A key's class is |hash| modulo the classes, and the number of classes in
+    place of 0; ``chosen`` lists classes. ``draw`` is a whole number that stands
+    for the row's or chunk's random draw, and so gives the same result again.
+    """
+    kind = F.pmod(F.abs(java_hash(key).cast("long")), F.lit(classes)).cast("int")
+    kind = F.when(kind == 0, classes).otherwise(kind)
+    return F.when(kind.isin(*chosen), base + start + F.pmod(draw, F.lit(end - start + 1))).otherwise(base).cast("int")
+
+
 def task_table(df: DataFrame, key: str, owner: str) -> DataFrame:
     """``key, owner, nb_values``."""
     return df.groupBy(F.col(key).alias("key"), F.col(owner).alias("owner")).agg(F.count("*").alias("nb_values"))
@@ -56,7 +106,7 @@ def _per_agent(tasks: DataFrame, agents: DataFrame, local, remote) -> DataFrame:
     """
     totals = tasks.groupBy("key").agg(F.sum(remote).alias("_all"))
     own = tasks.groupBy("key", F.col("owner").alias("agent")).agg(F.sum(local - remote).alias("_own"))
-    every = totals.join(F.broadcast(agents.select("agent").distinct()))  # agents: the nodes of a cluster
+    every = totals.crossJoin(few(agents.select("agent").distinct()))  # tasks x agents: the result's own rows
     return every.join(own, ["key", "agent"], "left").select("key", "agent", (F.col("_all") + F.coalesce("_own", F.lit(0))).alias("cost"))
 
 
@@ -120,8 +170,8 @@ def k_eligible_delegate(tasks: DataFrame, loads: DataFrame, k: int, threshold: f
     """
     mine = tasks.join(loads.select("owner", F.col("load").alias("my_load")), "owner")
     # a peer accepts iff its load < my_load * (1 - threshold) - cost: one sorted array of loads answers it
-    ranked = loads.groupBy().agg(F.sort_array(F.collect_list(F.struct("load", (-F.col("owner")).alias("minus")))).alias("_ranked"))  # nodes of a cluster: one row
-    mine = mine.join(F.broadcast(ranked)).withColumn("_limit", F.col("my_load") * (1 - threshold) - F.col("cost"))
+    ranked = _ranked(loads, F.col("load"), (-F.col("owner")).alias("minus"))
+    mine = mine.crossJoin(ranked).withColumn("_limit", F.col("my_load") * (1 - threshold) - F.col("cost"))
     fits = F.filter("_ranked", lambda p: (p["load"] < F.col("_limit")) & (p["minus"] != -F.col("owner")))
     mine = mine.withColumn("_fits", fits).where(F.size("_fits") > 0)
     mine = mine.withColumns({"n_peers": F.least(F.size("_fits"), F.lit(k)), "representative": -F.element_at("_fits", -1)["minus"], "_load": F.element_at("_fits", -1)["load"]})
@@ -130,6 +180,23 @@ def k_eligible_delegate(tasks: DataFrame, loads: DataFrame, k: int, threshold: f
     return best.select("owner", "b.key", "b.cost", "b.representative", "b.n_peers")
 
 
+def k_eligible(tasks: DataFrame, loads: DataFrame, k: int, perform: str = "small", threshold: float = 0.0) -> DataFrame:
+    """``owner, perform, delegate``: the cheapest (``small``) or costliest (``big``) task is performed next, and the
+    k-eligible one (null if no peer accepts any) is offered."""
+    if perform not in ("small", "big"):
+        raise ValueError(f"unknown order {perform!r}")
+    by = F.min_by if perform == "small" else F.max_by
+    next_ = tasks.groupBy("owner").agg(by("key", F.struct("cost", "key")).alias("perform"))
+    offered = k_eligible_delegate(tasks, loads, k, threshold).select("owner", F.col("key").alias("delegate"))
+    return next_.join(offered, "owner", "left")
+
+
+def bid_order(calls: DataFrame) -> DataFrame:
+    """``bidder, initiator, load, place``: in which order a bidder answers calls, the most loaded initiator first (ties: smaller id)."""
+    place = F.row_number().over(Window.partitionBy("bidder").orderBy(F.desc("load"), "initiator"))
+    return calls.select("bidder", "initiator", "load", place.alias("place"))
+
+
 def ownership_bundle_order(tasks: DataFrame) -> DataFrame:
     """``owner, key, class, perform_place, delegate_place`` from ``owner, key, cost, rate, max_rate``.
 
@@ -156,15 +223,47 @@ def split_in_two(chunks: DataFrame) -> DataFrame:
 def k_split_choice(loads: DataFrame, tasks: DataFrame, chunk_size: int) -> DataFrame:
     """``owner, delta, k, result``: into how many parts an owner's costliest task is best split.
 
-    For the k least loaded peers, delta is the owner's load minus the k-th
-    peer's; allowed if 2 * chunk_size <= delta <= the task's cost; chosen is the
-    smallest load left, own - k * delta / (k + 1), ties to the smaller k.
+    A peer's delta is the owner's load minus its own; those with 2 * chunk_size
+    <= delta <= the task's cost count, from the least loaded (k = 1) on. Chosen
+    is the smallest load left, own - k * delta / (k + 1), ties to the smaller k.
     """
     costliest = tasks.groupBy("owner").agg(F.max("cost").alias("cost"))
-    ranked = loads.groupBy().agg(F.sort_array(F.collect_list(F.struct("load", "owner"))).alias("_ranked"))  # nodes: one row
-    mine = loads.join(costliest, "owner").join(F.broadcast(ranked))
-    peers = F.filter("_ranked", lambda p: p["owner"] != F.col("owner"))
-    options = F.transform(peers, lambda p, i: F.struct(F.col("load").alias("own"), (F.col("load") - p["load"]).alias("delta"), (i + 1).alias("k")))
-    allowed = F.filter(options, lambda o: (o["delta"] >= 2 * chunk_size) & (o["delta"] <= F.col("cost")))
+    mine = loads.join(costliest, "owner").crossJoin(_ranked(loads, F.col("load"), F.col("owner")))
+    peers = F.filter("_ranked", lambda p: (p["owner"] != F.col("owner")) & (F.col("load") - p["load"] >= 2 * chunk_size) & (F.col("load") - p["load"] <= F.col("cost")))
+    allowed = F.transform(peers, lambda p, i: F.struct(F.col("load").alias("own"), (F.col("load") - p["load"]).alias("delta"), (i + 1).alias("k")))
     scored = F.transform(allowed, lambda o: F.struct(F.round(o["own"] - o["k"] * o["delta"] / (o["k"] + 1), 6).alias("result"), o["k"].alias("k"), o["delta"].alias("delta")))
     return mine.withColumn("_best", F.array_min(scored)).where("_best is not null").select("owner", "_best.delta", "_best.k", "_best.result")
+
+
+def deal_chunks(chunks: DataFrame, choice: DataFrame) -> DataFrame:
+    """``key, chunk_index, nb_values, part``: the chunks of split tasks dealt to k parts, and a rest (part k) that stays.
+
+    ``choice``: ``key, delta, k`` of the tasks to split. In the order of
+    ``chunk_index`` a chunk goes to the part with the fewest values so far
+    (ties: the part that has waited longest), as long as the values dealt stay
+    below delta; from the chunk on that would reach it, all stay. A task's
+    chunks stream through one worker, which holds the k parts; tasks are split
+    side by side.
+    """
+    ship(chunks.sparkSession)
+
+    def run(source):
+        key, parts, dealt, turn, rest = object(), [], 0, 0, False
+        for b in source:
+            out = []
+            for kk, _, n, delta, k in zip(*(c.to_pylist() for c in b.columns)):
+                if kk != key:
+                    key, parts, dealt, turn, rest = kk, [(0, p, p) for p in range(k)], 0, k, False
+                rest = rest or dealt + n >= delta
+                if rest:
+                    out.append(k)
+                    continue
+                load, _, p = heapq.heappop(parts)
+                heapq.heappush(parts, (load + n, turn, p))
+                dealt, turn = dealt + n, turn + 1
+                out.append(p)
+            yield pa.record_batch([*b.columns[:3], pa.array(out, pa.int32())], names=["key", "chunk_index", "nb_values", "part"])
+
+    held = chunks.select("key", "chunk_index", F.col("nb_values").cast("bigint")).join(choice.select("key", F.col("delta").cast("bigint"), F.col("k").cast("int")), "key")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in held.schema.fields[:3]]).add("part", T.IntegerType())
+    return held.repartition("key").sortWithinPartitions("key", "chunk_index").mapInArrow(run, schema)

@@ -82,3 +82,14 @@ def fuse(*archives: DataFrame) -> DataFrame:
 def latest(archive: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     """``key, value``: the newest value of each key."""
     return archive.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def latest_every(archive: DataFrame, key: str, frequency: int, *order: str) -> DataFrame:
+    """The messages that a mailbox passes on: of a key's messages in order, every ``frequency``-th, and the newest.
+
+    The others are outdated by those behind them. With a frequency of 0 only the newest remains.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    held = archive.withColumns({"_i": F.row_number().over(w), "_next": F.lead(F.lit(1)).over(w)})
+    passes = F.col("_next").isNull() | ((F.col("_i") % frequency == 0) if frequency else F.lit(False))
+    return held.where(passes).drop("_i", "_next")

@@ -73,6 +73,7 @@ def temperature_by_station(df):
 
 
 def _bins(df):
+    """Celsius by half units; the difference is rounded to nine places first, so that 25.5 is not taken for 25.4999..."""
     return df.where(F.col("temp") != MISSING).withColumn("bin", half_unit_bin(F.round(F.col("temp").cast("double") - KELVIN, 9)))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keyfold.operators import allocate, tasks
 from keyfold.sources.readers import parse_config
@@ -44,6 +45,27 @@ def bundle_strategy(text: str, threshold: float = 0.0) -> Callable[[DataFrame, D
     raise KeyError(f"unknown bundle strategy {text!r}")
 
 
+def perform_strategy(text: str) -> Callable[[DataFrame], DataFrame]:
+    """What each owner performs next: owned tasks to ``owner, perform``."""
+    k_eligible = re.fullmatch(r"\(\s*k-eligible-(small|big)\s*,\s*\d+\s*\)", text)
+    if text in ("csdb", "cbds") or k_eligible:
+        policy = {"small": "csdb", "big": "cbds"}[k_eligible[1]] if k_eligible else text
+        return lambda t: tasks.next_task(t, policy).select("owner", "perform")
+    if text == "ownership":
+        return lambda t: tasks.ownership_bundle_order(t).where("perform_place = 1").select("owner", F.col("key").alias("perform"))
+    raise KeyError(f"unknown bundle strategy {text!r}")
+
+
+def split_strategy(config: RunConfig) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Which owners split their costliest task, and how: (loads, owned tasks) to ``owner, delta, k, result``.
+
+    Without the permission ``task_split`` nothing is split.
+    """
+    if not config.task_split:
+        return lambda loads, t: tasks.k_split_choice(loads, t, config.chunk_size).limit(0)
+    return lambda loads, t: tasks.k_split_choice(loads, t, config.chunk_size)
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """A run's settings with defaults; texts are converted to the fields' types."""
@@ -72,5 +94,12 @@ def expand_sweep(lines: Iterable[str]) -> list[dict[str, str]]:
     out: list[dict[str, str]] = [{}]
     for name, value in parse_config(lines).items():
         values = [v.strip() for v in value.split(",")] if name.startswith("*") else [value]
-        out = [c | {name.lstrip("*"): v} for c in out for v in values]
+        out = [c | {name.lstrip("*").strip(): v} for c in out for v in values]
     return out
+
+
+def sweep_folders(lines: Iterable[str]) -> dict[str, dict[str, str]]:
+    """Each configuration of a sweep by the name of its folder: the swept fields in order, ``field-value`` joined by ``_``, without spaces."""
+    lines = list(lines)
+    swept = sorted(name.lstrip("*").strip() for name in parse_config(lines) if name.startswith("*"))
+    return {"_".join(f"{n}-{c[n]}" for n in swept).replace(" ", ""): c for c in expand_sweep(lines)}
