@@ -109,10 +109,11 @@ def tokenize_explode(spark, d):
     return lines.select("doc_id", F.explode(F.split("line", " ")).alias("word")).where("word <> ''").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
-@query("count_by_keyword", "SELECT keyword, count(*) AS n FROM (SELECT unnest(string_split(rtrim(line, ' '), ' ')) AS keyword FROM (SELECT replace(string_split(text, chr(10))[1], '.', ' ') AS line FROM documents) WHERE rtrim(line, ' ') <> '' OR line = '') GROUP BY keyword")
+@query("count_by_keyword", "SELECT keyword, count(*) AS n FROM (SELECT unnest(string_split(rtrim(line, ' '), ' ')) AS keyword FROM (SELECT replace(unnest(string_split(text, chr(10))), '.', ' ') AS line FROM documents) WHERE rtrim(line, ' ') <> '' OR line = '') GROUP BY keyword")
 def count_by_keyword(spark, d):
-    first = F.replace(F.get(F.split("text", "\n"), F.lit(0)), F.lit("."), F.lit(" "))
-    return jobs.count_by_keyword(table(spark, d, "documents").select(first.alias("phrase")).where("phrase is not null"))
+    """Every line is a record."""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return jobs.count_by_keyword(lines.select(F.replace("line", F.lit("."), F.lit(" ")).alias("phrase")))
 
 
 @query("count_key", "SELECT l_partkey AS k, sum(l_linenumber)::BIGINT AS total FROM lineitem GROUP BY l_partkey")
@@ -145,8 +146,7 @@ def fold_mean_int(spark, d):
 @query("fold_generic", "SELECT l_suppkey, (list_reduce(list_prepend(7::BIGINT, list_sort(list(l_linenumber::BIGINT))), lambda a, x: (a * 31 + x) % 1000003))::BIGINT AS digest FROM lineitem GROUP BY l_suppkey")
 def fold_generic(spark, d):
     """A fold that no built-in aggregate has."""
-    li = table(spark, d, "lineitem").withColumn("v", F.col("l_linenumber").cast("bigint"))
-    return folds.fold_by(li, ["l_suppkey"], digest=folds.fold("v", F.lit(7).cast("bigint"), lambda a, x: (a * 31 + x) % 1000003))
+    return folds.fold_sorted(table(spark, d, "lineitem"), ["l_suppkey"], "l_linenumber", 7, lambda a, x: (a * 31 + x) % 1000003, name="digest")
 
 
 @query("two_phase_aggregate", "SELECT l_suppkey, (sum(l_quantity::INT)::BIGINT // count(*))::BIGINT AS mean_int, sum(l_quantity::INT)::BIGINT AS total, count(*)::BIGINT AS n FROM lineitem GROUP BY l_suppkey")
@@ -332,13 +332,32 @@ def replicate_rows(spark, d):
     return tasks.replicate(li, F.col("l_linenumber") % 4).groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("copy").alias("copies"))
 
 
-_SPLIT_SQL = "(SELECT doc_id, string_split(rtrim(string_split(text, chr(10))[1] , '.'), '.') AS f, string_split(text, chr(10))[1] AS line FROM documents)"
+_LINES = "(SELECT doc_id, generate_subscripts(l, 1)::INT - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
-@query("split_trailing", f"SELECT doc_id, CASE WHEN rtrim(line, '.') = '' AND line <> '' THEN 0 ELSE len(f) END::BIGINT AS n FROM {_SPLIT_SQL}")
+@query("split_trailing", f"SELECT doc_id, line_no, CASE WHEN rtrim(line, '.') = '' AND line <> '' THEN 0 ELSE len(string_split(rtrim(line, '.'), '.')) END::BIGINT AS n FROM {_LINES}")
 def split_trailing(spark, d):
-    """Trailing empty fields are dropped."""
-    return table(spark, d, "documents").select("doc_id", F.size(T.split_fields(F.get(F.split("text", "\n"), F.lit(0)), ".")).cast("bigint").alias("n"))
+    """Trailing empty fields of every line are dropped."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", F.size(T.split_fields("line", ".")).cast("bigint").alias("n"))
+
+
+@query("scan_chunk_files", "SELECT CAST(l_suppkey AS VARCHAR) AS key, count(*) AS n, sum(l_linenumber)::BIGINT AS total, count(DISTINCT c) AS files FROM (SELECT *, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1) // 500 AS c FROM lineitem WHERE l_suppkey <= 5) GROUP BY l_suppkey")
+def scan_chunk_files(spark, d):
+    """Chunks of the values of five suppliers, written as files and read again."""
+    path, li = scratch_path(spark, "chunks"), table(spark, d, "lineitem").where("l_suppkey <= 5").select("l_suppkey", "l_orderkey", "l_linenumber")
+    chunks = tasks.assign_chunks(li, "l_suppkey", 500, "l_orderkey", "l_linenumber")
+    sinks.write_chunks(chunks.select(F.col("l_suppkey").alias("key"), "chunk_index", F.col("l_linenumber").alias("value")), path)
+    return readers.chunk_files(spark, path).groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("bigint")).alias("total"), F.count_distinct("file").alias("files"))
+
+
+@query("sink_concatenated", "SELECT count(*) AS n, 1::BIGINT AS files FROM (SELECT DISTINCT l_suppkey FROM lineitem)")
+def sink_concatenated(spark, d):
+    """The result lines of all receivers in one file."""
+    path = scratch_path(spark, "concatenated")
+    counts = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    sinks.concatenate(sinks.result_lines(counts, ["l_suppkey"], "n"), path)
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n"), F.count_distinct("f").alias("files"))
 
 
 # ---- grouping ----
@@ -354,6 +373,19 @@ def chunking(spark, d):
     return tasks.chunk(table(spark, d, "lineitem"), "l_suppkey", 50)
 
 
+@query("chunk_assignment", "SELECT l_orderkey, l_linenumber, l_suppkey, ((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1) // 50)::INT AS chunk_index FROM lineitem")
+def chunk_assignment(spark, d):
+    """Every row with the chunk that it goes to."""
+    return tasks.assign_chunks(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_suppkey", 50, "l_orderkey", "l_linenumber")
+
+
+@query("amplify_chosen", "SELECT c_custkey, copy::INT AS copy FROM (SELECT c_custkey, unnest(range(1, f + 1)) AS copy FROM (SELECT c_custkey, CASE WHEN CASE WHEN abs(h) % 8 = 0 THEN 8 ELSE abs(h) % 8 END IN (2, 3) THEN 2 + 1 + c_custkey % 4 ELSE 2 END AS f FROM (SELECT c_custkey, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length(c_name) + 1), lambda i: unicode(c_name[i])::BIGINT)), lambda a, x: ((a * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS h FROM customer)))")
+def amplify_chosen(spark, d):
+    """Rows of the keys in classes 2 and 3 of 8 are written 3 to 6 times, others twice."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    return tasks.replicate(c, tasks.amplification("c_name", F.col("c_custkey"), (2, 3), 8, 2, 1, 4)).select("c_custkey", "copy")
+
+
 # ---- task table, costs ----
 
 _RATE = f"(SELECT key, owner, nb_values, round(nb_values / sum(nb_values) OVER (PARTITION BY key), 2) AS rate FROM {_TASKS})"
@@ -417,10 +449,11 @@ def next_task_cbds(spark, d):
     return tasks.next_task(_owned(spark, d), "cbds")
 
 
-def _pairs(spark, d):
-    t, l = _owned(spark, d), _loads(spark, d)
+def _pairs(spark, d, t):
+    """Owners' rows with every peer: the result's own size, but for the nodes' loads nothing is sent."""
+    l = _loads(spark, d)
     peers = l.select(F.col("owner").alias("peer"), F.col("load").alias("peer_load"))
-    return t.join(l.withColumnRenamed("load", "my_load"), "owner").join(F.broadcast(peers), F.col("peer") != F.col("owner"))
+    return t.join(l.withColumnRenamed("load", "my_load"), "owner").crossJoin(tasks.few(peers)).where("peer <> owner")
 
 
 _PAIRS = f"(SELECT t.key, t.owner, t.cost, m.load AS my_load, p.owner AS peer, p.load AS peer_load FROM {_OWNED} t JOIN {_LOADS} m ON m.owner = t.owner JOIN {_LOADS} p ON p.owner <> t.owner)"
@@ -428,19 +461,22 @@ _PAIRS = f"(SELECT t.key, t.owner, t.cost, m.load AS my_load, p.owner AS peer, p
 
 @query("acceptance_test", f"SELECT owner, peer, count(*) FILTER ((my_load - (peer_load + cost)) / my_load > 0.05) AS accepted, count(*) AS total FROM {_PAIRS} GROUP BY ALL")
 def acceptance_test(spark, d):
-    return tasks.acceptance(_pairs(spark, d), 0.05).groupBy("owner", "peer").agg(F.count_if("accepts").alias("accepted"), F.count("*").alias("total"))
+    """Acceptance hangs on a task's cost alone, so an owner's distinct costs meet the peers, not its tasks."""
+    costs = _owned(spark, d).groupBy("owner", "cost").agg(F.count("*").alias("n"))
+    pairs = tasks.acceptance(_pairs(spark, d, costs), 0.05)
+    return pairs.groupBy("owner", "peer").agg(F.sum(F.when(F.col("accepts"), F.col("n")).otherwise(0)).alias("accepted"), F.sum("n").alias("total"))
 
 
 @query("fairness_benefit", f"SELECT key, peer, round((my_load - (peer_load + cost)) / my_load, 6) AS benefit FROM {_PAIRS}")
 def fairness_benefit(spark, d):
-    return tasks.acceptance(_pairs(spark, d)).select("key", "peer", F.round("benefit", 6).alias("benefit"))
+    return tasks.acceptance(_pairs(spark, d, _owned(spark, d))).select("key", "peer", F.round("benefit", 6).alias("benefit"))
 
 
 @query("select_bidder", f"SELECT key, arg_min(owner, {{'c': load + c, 'o': owner}}) AS winner FROM (SELECT t.key, l.owner, l.load, sum(CASE WHEN t.owner = l.owner THEN nb_values ELSE nb_values * 3 END)::BIGINT AS c FROM {_TASKS} t CROSS JOIN {_LOADS} l GROUP BY ALL) GROUP BY key")
 def select_bidder(spark, d):
     t = _tasks(spark, d)
     cost = tasks.cost_remote_multiplier(t, t.select(F.col("owner").alias("agent")), 3)
-    bids = cost.join(F.broadcast(_loads(spark, d).withColumnRenamed("owner", "agent")), "agent")
+    bids = cost.join(tasks.few(_loads(spark, d).withColumnRenamed("owner", "agent")), "agent")
     return tasks.select_bidder(bids.select("key", F.col("agent").alias("bidder"), "load", "cost"))
 
 
@@ -452,6 +488,28 @@ def k_eligible_delegate(spark, d):
     return tasks.k_eligible_delegate(_owned(spark, d), _loads(spark, d), 3)
 
 
+_ELIGIBLE = f"(SELECT owner, key AS delegate FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY n_peers DESC, greatest(my - cost, pl + cost), key) AS r FROM (SELECT owner, key, cost, any_value(my_load) AS my, least(count(*), 2)::INT AS n_peers, max(peer_load) AS pl FROM {_PAIRS} WHERE peer_load + cost < my_load GROUP BY owner, key, cost)) WHERE r = 1)"
+
+
+@query("k_eligible_small", f"SELECT owner, perform, delegate FROM (SELECT owner, arg_min(key, {{'c': cost, 'k': key}}) AS perform FROM {_OWNED} GROUP BY owner) LEFT JOIN {_ELIGIBLE} USING (owner)")
+def k_eligible_small(spark, d):
+    return tasks.k_eligible(_owned(spark, d), _loads(spark, d), 2, "small")
+
+
+@query("k_eligible_big", f"SELECT owner, perform, delegate FROM (SELECT owner, arg_max(key, {{'c': cost, 'k': key}}) AS perform FROM {_OWNED} GROUP BY owner) LEFT JOIN {_ELIGIBLE} USING (owner)")
+def k_eligible_big(spark, d):
+    return tasks.k_eligible(_owned(spark, d), _loads(spark, d), 2, "big")
+
+
+@query("bid_order", f"SELECT p.owner AS bidder, i.owner AS initiator, i.load, row_number() OVER (PARTITION BY p.owner ORDER BY i.load DESC, i.owner)::INT AS place FROM {_LOADS} p JOIN {_LOADS} i ON i.load > p.load")
+def bid_order(spark, d):
+    """Every node bids to those with a larger load."""
+    l = _loads(spark, d)
+    bidders = l.select(F.col("owner").alias("bidder"), F.col("load").alias("mine"))
+    calls = l.withColumnRenamed("owner", "initiator").crossJoin(tasks.few(bidders)).where("load > mine")
+    return tasks.bid_order(calls)
+
+
 _OWN_BUNDLE = f"(SELECT t.key % {NODES} AS owner, t.key, sum(nb_values)::BIGINT AS cost, round(coalesce(sum(nb_values) FILTER (t.owner = t.key % {NODES}), 0) / sum(nb_values), 2) AS rate, round(max(nb_values) / sum(nb_values), 2) AS max_rate FROM {_TASKS} t GROUP BY t.key)"
 _CLASS = "CASE WHEN rate = 0 THEN 2 WHEN rate = max_rate THEN 0 ELSE 1 END"
 _RANKED = f"CASE {_CLASS} WHEN 0 THEN -cost::DOUBLE WHEN 1 THEN -rate ELSE cost::DOUBLE END"
@@ -471,12 +529,20 @@ def split_in_two(spark, d):
     return tasks.split_in_two(chunks.withColumnRenamed("l_suppkey", "key"))
 
 
+@query("k_split_deal", "SELECT key, chunk_index, nb_values, CASE WHEN sum(nb_values) OVER (PARTITION BY key ORDER BY chunk_index) >= n // 2 THEN 3 ELSE chunk_index % 3 END::INT AS part FROM (SELECT l_suppkey AS key, c AS chunk_index, count(*) AS nb_values, any_value(n) AS n FROM (SELECT l_suppkey, ((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1) // 50)::INT AS c, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) GROUP BY l_suppkey, c)")
+def k_split_deal(spark, d):
+    """Half of every supplier's values dealt to three parts, the rest stays: with equal chunks the parts take turns."""
+    chunks = tasks.chunk(table(spark, d, "lineitem"), "l_suppkey", 50).withColumnRenamed("l_suppkey", "key")
+    choice = _suppliers(spark, d).select(F.col("l_suppkey").alias("key"), F.call_function("div", F.col("c"), F.lit(2).cast("bigint")).alias("delta"), F.lit(3).alias("k"))
+    return tasks.deal_chunks(chunks, choice)
+
+
 _BIG = f"(SELECT owner, max(cost) * 40 AS cost FROM {_OWNED} GROUP BY owner)"
 
 
 @query(
     "k_split_choice",
-    f"SELECT owner, delta, k, result FROM (SELECT owner, delta, k, round(own - k * delta / (k + 1), 6) AS result, row_number() OVER (PARTITION BY owner ORDER BY round(own - k * delta / (k + 1), 6), k) AS r FROM (SELECT m.owner, m.load AS own, m.load - p.load AS delta, (row_number() OVER (PARTITION BY m.owner ORDER BY p.load, p.owner))::INT AS k, b.cost FROM {_LOADS} m JOIN {_LOADS} p ON p.owner <> m.owner JOIN {_BIG} b ON b.owner = m.owner) WHERE delta >= 20 AND delta <= cost) WHERE r = 1",
+    f"SELECT owner, delta, k, result FROM (SELECT owner, delta, k, round(own - k * delta / (k + 1), 6) AS result, row_number() OVER (PARTITION BY owner ORDER BY round(own - k * delta / (k + 1), 6), k) AS r FROM (SELECT m.owner, m.load AS own, m.load - p.load AS delta, (row_number() OVER (PARTITION BY m.owner ORDER BY p.load, p.owner))::INT AS k FROM {_LOADS} m JOIN {_LOADS} p ON p.owner <> m.owner JOIN {_BIG} b ON b.owner = m.owner WHERE m.load - p.load >= 20 AND m.load - p.load <= b.cost)) WHERE r = 1",
 )
 def k_split_choice(spark, d):
     big = _owned(spark, d).groupBy("owner").agg((F.max("cost") * 40).alias("cost"))
@@ -534,7 +600,20 @@ def hash_allocation(spark, d):
     return allocate.by_hash(_owned(spark, d), NODES)
 
 
-@query("delegation_planner")
+_PLANNER = f"""WITH RECURSIVE begin AS (SELECT key, (abs(h) % {NODES})::INT AS receiver, cost FROM (SELECT key, cost, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length(key::VARCHAR) + 1), lambda i: unicode((key::VARCHAR)[i])::BIGINT)), lambda a, x: ((a * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS h FROM {_OWNED})),
+r AS (
+  SELECT 0 AS step, key, receiver, cost FROM begin
+  UNION ALL
+  (WITH loads AS (SELECT n::INT AS receiver, coalesce(sum(cost), 0) AS load FROM range(0, {NODES}) t(n) LEFT JOIN r ON r.receiver = n GROUP BY n),
+   ranked AS (SELECT receiver, load, row_number() OVER (ORDER BY load DESC, receiver) AS p FROM loads),
+   peers AS (SELECT g.receiver, t.receiver AS taker, g.load AS mine, t.load AS theirs FROM ranked g JOIN ranked t ON t.p = {NODES} + 1 - g.p WHERE g.p <= {NODES // 2} AND g.load > t.load),
+   fits AS (SELECT r.key, r.receiver, r.cost, taker, mine, theirs, sum(cost) OVER (PARTITION BY r.receiver ORDER BY cost DESC, key DESC ROWS UNBOUNDED PRECEDING) AS after FROM r JOIN peers ON peers.receiver = r.receiver WHERE mine - (theirs + cost) > 0 AND cost > 0),
+   takes AS (SELECT *, bool_and((mine - (after - cost)) - (theirs + after) > 0) OVER (PARTITION BY receiver ORDER BY cost DESC, key DESC ROWS UNBOUNDED PRECEDING) AS ok FROM fits)
+   SELECT r.step + 1, r.key, coalesce(m.taker, r.receiver), r.cost FROM r LEFT JOIN (SELECT key, receiver, taker FROM takes WHERE ok) m ON m.key = r.key AND m.receiver = r.receiver WHERE EXISTS (SELECT 1 FROM takes WHERE ok)))
+SELECT receiver, sum(cost)::BIGINT AS load FROM r WHERE step = (SELECT max(step) FROM r) GROUP BY receiver"""
+
+
+@query("delegation_planner", _PLANNER)
 def delegation_planner(spark, d):
     """Hash allocation improved by rounds of delegation until nothing moves; loads of the nodes."""
     start = allocate.by_hash(_owned(spark, d), NODES)
@@ -586,6 +665,21 @@ def workload_summary(spark, d):
     return _suppliers(spark, d).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("c").alias("total"), F.round(F.avg("c"), 6).alias("mean"))
 
 
+_OUTCOMES = "(SELECT event_id % 7 AS o FROM events)"
+
+
+@query("negotiation_totals", "SELECT " + ", ".join(f"count(*) FILTER (o = {i}) AS {o}" for i, o in enumerate(metrics.NEGOTIATION)) + f" FROM {_OUTCOMES}")
+def negotiation_totals(spark, d):
+    """Events as a log of negotiations; the seventh kind is none of the outcomes."""
+    names = F.array(*[F.lit(o) for o in metrics.NEGOTIATION], F.lit("other"))
+    return metrics.negotiation_totals(table(spark, d, "events").select(F.get(names, (F.col("event_id") % 7).cast("int")).alias("outcome")))
+
+
+@query("initial_workloads", f"SELECT id, arg_min(value, {{'t': ts, 's': seq}}) AS workload FROM {_ARCHIVE} GROUP BY id")
+def initial_workloads(spark, d):
+    return metrics.initial_workloads(_archive(spark, d))
+
+
 @query("makespan_gain", f"SELECT round(100 - max(c) FILTER (l_suppkey % 2 = 0) / max(c) * 100, 6) AS gain FROM {_SUPPLIERS}")
 def makespan_gain(spark, d):
     return _suppliers(spark, d).agg(metrics.better_by(F.max(F.when(F.col("l_suppkey") % 2 == 0, F.col("c"))), F.max("c")).alias("gain"))
@@ -652,7 +746,12 @@ def generate_leave_one_empty(spark, d):
     return generate.leave_one_empty(spark, 100, 3, 8).groupBy("reducer").agg(F.count("*").alias("n"))
 
 
-@query("generate_skewed")
+def _drawn(tag: int) -> str:
+    """The generator's draw of 0 .. 2^32 - 1 for row i, seed 10."""
+    return f"('0x' || substr(md5('10-{tag}-' || i), 1, 8))::BIGINT"
+
+
+@query("generate_skewed", f"SELECT floor(u * u * 200)::INT AS key, count(*) AS n, min(v)::INT AS lo, max(v)::INT AS hi FROM (SELECT ({_drawn(0)} % 1073741824) / 1073741824 AS u, {_drawn(1)} % 99998 + 1 AS v FROM range(0, 20000) t(i)) GROUP BY ALL")
 def generate_skewed(spark, d):
     return generate.skewed(spark, 20_000, 200, 8, 8).groupBy("key").agg(F.count("*").alias("n"), F.min("val1").alias("lo"), F.max("val1").alias("hi"))
 
@@ -727,6 +826,12 @@ def latest_per_key(spark, d):
     return timeline.latest(table(spark, d, "events"), "user_id", "value", "ts", "event_id")
 
 
+@query("latest_every_nth", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE i % 5 = 0 OR i = n")
+def latest_every_nth(spark, d):
+    """Every fifth message of a sender, and its newest."""
+    return timeline.latest_every(table(spark, d, "events"), "user_id", 5, "ts", "event_id").select("user_id", "event_id", "value")
+
+
 @query("stream_timeline", "SELECT (date_trunc('day', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 DAY)::TIMESTAMP AS \"end\", count(*) AS n FROM events GROUP BY ALL")
 def stream_timeline(spark, d):
     """The streaming plan in update mode over the files there are; a day's last update is its row."""
