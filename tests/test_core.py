@@ -152,6 +152,68 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.parse_addresses(["// c", "host 3", ""]) == [("host", 3)]
 
 
+def test_round_robin_under_small_partitions(spark):
+    """A wide column that is used, and partitions that adaptive execution coalesces: numbers stay those of the order."""
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "60k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        df = spark.range(60_000).select(((F.col("id") * 7919) % 60_000).alias("n"), F.repeat(F.col("id").cast("string"), 12).alias("wide"))
+        got = readers.round_robin(df, 8, "n")
+        assert got.where("split <> n % 8").count() == 0 and got.count() == 60_000
+        assert got.agg(F.sum(F.length("wide") * 0 + F.col("split") - F.col("n") % 8)).first()[0] == 0
+        assert got.where(F.length("wide") > 10).where("split <> n % 8").count() == 0
+        chunks = tasks.assign_chunks(df.withColumn("k", F.when(F.col("n") % 3 == 0, 0).otherwise(F.col("n") % 50)), "k", 100, "n").collect()
+        by: dict = {}
+        for r in sorted(chunks, key=lambda r: r["n"]):
+            i = by.get(r["k"], 0)
+            assert r["chunk_index"] == i // 100
+            by[r["k"]] = i + 1
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_chunks_and_deals(spark, tmp_path):
+    rows = [("a", i, n) for i, n in enumerate([5, 3, 4, 4, 9, 1])] + [("b", 0, 2)]
+    chunks = spark.createDataFrame(rows, "key string, chunk_index int, nb_values bigint")
+    choice = spark.createDataFrame([("a", 17, 2)], "key string, delta bigint, k int")
+    got = sorted(map(tuple, tasks.deal_chunks(chunks, choice).collect()))
+    # 5 to the first part, 3 and then 4 to the second; 16 values are below 17, the chunk of 9 and what follows stay
+    assert got == [("a", 0, 5, 0), ("a", 1, 3, 1), ("a", 2, 4, 1), ("a", 3, 4, 0), ("a", 4, 9, 2), ("a", 5, 1, 2)]
+    values = spark.createDataFrame([("k 1", 0, 3), ("k 1", 0, 1), ("k 1", 1, 2), ("z", 0, 7)], "key string, chunk_index int, value int")
+    sinks.write_chunks(values, str(tmp_path / "c"))
+    back = readers.chunk_files(spark, str(tmp_path / "c"))
+    assert sorted((r["key"], r["value"]) for r in back.collect()) == [("k 1", "1"), ("k 1", "2"), ("k 1", "3"), ("z", "7")]
+    assert back.select("file").distinct().count() == 3
+
+
+def test_amplification(spark):
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")  # hashes 97, 98, 99
+    f = tasks.amplification("k", F.lit(5), (1, 4), 4, 2, 1, 3)
+    # classes of 4: 1, 2 and 3; the chosen class 1 gets 2 + 1 + 5 % 3
+    assert [tuple(r) for r in keys.select("k", f.alias("f")).orderBy("k").collect()] == [("a", 5), ("b", 2), ("c", 2)]
+
+
+def test_mailbox_and_folds(spark):
+    df = spark.createDataFrame([("x", i, i * 10) for i in range(1, 8)] + [("y", 1, 5)], "k string, t int, v int")
+    got = sorted((r["k"], r["t"]) for r in timeline.latest_every(df, "k", 3, "t").collect())
+    assert got == [("x", 3), ("x", 6), ("x", 7), ("y", 1)]
+    assert sorted((r["k"], r["t"]) for r in timeline.latest_every(df, "k", 0, "t").collect()) == [("x", 7), ("y", 1)]
+    joined = folds.fold_sorted(df, ["k"], "v", "", lambda a, x: f"{a},{x}", lambda a: a[1:], "string", "line")
+    assert sorted(map(tuple, joined.collect())) == [("x", "10,20,30,40,50,60,70"), ("y", "5")]
+    assert folds.fold_sorted(df.limit(0), ["k"], "v", 0, lambda a, x: a + x).count() == 0
+
+
+def test_nodes_are_counted(spark):
+    nodes = spark.range(30).select(F.col("id").alias("owner"), F.col("id").alias("load"))
+    assert "broadcast" in tasks.few(nodes)._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in tasks.few(nodes, 10)._jdf.queryExecution().analyzed().toString().lower()
+    with pytest.raises(ValueError, match="nodes"):
+        tasks._ranked(nodes, F.col("load"), most=10)
+
+
 def test_strategies_and_config(spark):
     from keyfold.plans import strategies as st
 
@@ -172,3 +234,13 @@ def test_strategies_and_config(spark):
     c = st.RunConfig.parse(["nb-reducer : 3", "task-split : true", "threshold : 0.5", "other : 1"])
     assert (c.nb_reducer, c.task_split, c.threshold, c.nb_mapper) == (3, True, 0.5, 8)
     assert st.expand_sweep(["a : 1", "*b : 2, 3"]) == [{"a": "1", "b": "2"}, {"a": "1", "b": "3"}]
+    assert set(st.sweep_folders(["a : 1", "* z : x y", "*b : 2, 3"])) == {"b-2_z-xy", "b-3_z-xy"}
+    assert sorted(map(tuple, st.perform_strategy("(k-eligible-big, 2)")(owned).collect())) == [(0, "a"), (1, "c")]
+    assert sorted(map(tuple, st.perform_strategy("(k-eligible-small, 2)")(owned).collect())) == [(0, "b"), (1, "c")]
+    assert sorted(map(tuple, tasks.k_eligible(owned, loads, 2, "big").collect())) == [(0, "a", "b"), (1, "c", None)]
+    heavy = owned.unionByName(spark.createDataFrame([("d", 0, 40)], "key string, owner int, cost bigint"))
+    total = heavy.groupBy("owner").agg(F.sum("cost").alias("load"))
+    for allowed, n in ((True, 0), (False, 0)):
+        assert st.split_strategy(st.RunConfig(task_split=allowed, chunk_size=4))(total, heavy).count() == n
+    wide = spark.createDataFrame([(0, 60), (1, 30)], "owner int, load bigint")
+    assert [tuple(r) for r in st.split_strategy(st.RunConfig(task_split=True, chunk_size=4))(wide, heavy).collect()] == [(0, 30, 1, 45.0)]
