@@ -43,6 +43,11 @@ def domain_of(host: Column, second: Sequence[str] = SECOND_LABELS) -> tuple[Colu
     return F.when(two, last3).otherwise(last2), F.when(two, last2).otherwise(F.substring_index(host, ".", -1))
 
 
+def _last(host: Column, labels: Column) -> Column:
+    """The last so many labels of a host."""
+    return F.call_function("substring_index", host, F.lit("."), -labels)
+
+
 def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Adds ``domain`` and ``suffix`` to rows of distinct ``host``.
 
@@ -53,11 +58,11 @@ def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFra
     domain, suffix = domain_of(F.col("host"))
     if suffixes is None:
         return hosts.withColumns({"domain": domain, "suffix": suffix})
-    ends = hosts.select("host", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("labels")).select("host", "labels", F.substring_index("host", ".", -F.col("labels")).alias("suffix"))
+    ends = hosts.select("host", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("labels")).select("host", "labels", _last(F.col("host"), F.col("labels")).alias("suffix"))
     listed = ends.join(suffixes.select("suffix").distinct(), "suffix").groupBy("host").agg(F.max("labels").alias("labels"))
     held = hosts.join(listed, "host", "left")
-    longer = F.substring_index("host", ".", -F.col("labels") - 1)
-    return held.select(*hosts.columns, F.coalesce(longer, domain).alias("domain"), F.coalesce(F.substring_index("host", ".", -F.col("labels")), suffix).alias("suffix"))
+    found = [_last(F.col("host"), F.col("labels") + k) for k in (1, 0)]
+    return held.select(*hosts.columns, F.coalesce(found[0], domain).alias("domain"), F.coalesce(found[1], suffix).alias("suffix"))
 
 
 def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
