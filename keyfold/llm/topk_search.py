@@ -132,7 +132,7 @@ def _enter(tables):
                 dims = np.asarray(part.column(1).value_lengths()).astype(np.int32)
                 for dim in np.unique(dims):
                     rows = part.filter(pa.array(dims == dim))
-                    x = np.asarray(rows.column(1).flatten()).astype(np.int64).reshape(-1, dim)
+                    x = np.asarray(rows.column(1).flatten()).astype(np.int64).reshape(rows.num_rows, dim)
                     entries = tables.value.get(int(dim), PivotTable(np.zeros((0, dim)))).entry(x)
                     yield pa.record_batch([rows.column(0), pa.array(np.full(len(x), dim, np.int32)), rows.column(2), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in entries], pa.binary())], names=["vec_id", "dim", "place", "v", "entry"])
 
@@ -209,7 +209,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     samples = {}
     for dim in {len(r["v"]) for r in got}:
         of_dim = [r for r in got if len(r["v"]) == dim]
-        samples[dim] = np.array([r["vec_id"] for r in of_dim], np.int64), np.array([r["v"] for r in of_dim], np.int64).reshape(-1, dim)
+        samples[dim] = np.array([r["vec_id"] for r in of_dim], np.int64), np.array([r["v"] for r in of_dim], np.int64).reshape(len(of_dim), dim)
     tables = spark.sparkContext.broadcast({dim: PivotTable(x[1]) for dim, x in samples.items()})  # PIVOTS vectors a dimension
     samples = spark.sparkContext.broadcast(samples)  # SAMPLE rows
     held = max(1, min(GROUP_BYTES // (8 * (widest + PIVOTS + 1)), -(-total // (2 * spark.sparkContext.defaultParallelism))))
