@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import os
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -9,9 +11,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keyfold.llm import chat, ctw, fm_index, minhash, packing, quality, registry, sharding, tokens, topk_search, url_filters
+from keyfold.llm import chat, common, ctw, fm_index, minhash, packing, quality, registry, sharding, tokens, topk_search, url_filters
 from keyfold.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -94,6 +97,69 @@ def test_reputation_is_shrunk(spark):
     assert url_filters.judge(pages.limit(0), labelled.limit(0)).count() == 0
 
 
+def test_priors_by_level(spark):
+    """Posterior means, strengths and bounds against plain Python."""
+    rng, rows = random.Random(8), []
+    for d in range(6):
+        for h in range(5):
+            rate = rng.random()
+            rows += [(f"h{h}.d{d}.{'com' if d < 3 else 'co.uk'}", rng.random() < rate) for _ in range(rng.randrange(1, 30))]
+    counts = defaultdict(lambda: [0, 0])
+    for h, ok in rows:
+        counts[h][0] += 1
+        counts[h][1] += ok
+    suffix = lambda h: "co.uk" if h.endswith("co.uk") else "com"
+    domain = lambda h: h.split(".", 1)[1]
+
+    def total(of):
+        out = defaultdict(lambda: [0, 0])
+        for h, (n, good) in counts.items():
+            out[of(h)][0] += n
+            out[of(h)][1] += good
+        return out
+
+    def level(groups, above):
+        spread = sum((g - n * above[k]) ** 2 / n - above[k] * (1 - above[k]) for k, (n, g) in groups.items())
+        room = sum(above[k] * (1 - above[k]) * (n - 1) for k, (n, _) in groups.items())
+        t = min(50.0, max(1.0, room / spread - 1)) if spread > 0 and room > 0 else 50.0
+        return t, {k: (g + t * above[k]) / (n + t) for k, (n, g) in groups.items()}
+
+    n, good = len(rows), sum(ok for _, ok in rows)
+    by_suffix, by_domain = total(suffix), total(domain)
+    _, s_mean = level(by_suffix, {k: (good + 1) / (n + 2) for k in by_suffix})
+    _, d_mean = level(by_domain, {k: s_mean[suffix(k)] for k in by_domain})
+    t, h_mean = level(counts, {k: d_mean[domain(k)] for k in counts})
+    pages = spark.createDataFrame([(i, f"http://{h}/", 1, 2.0, "x") for i, h in enumerate([*counts, *counts])], "page_id long, url string, n int, above double, suffix string")
+    got = url_filters.judge(pages, spark.createDataFrame(rows, "host string, good_page boolean")).collect()
+    assert len(got) == 2 * len(counts)
+    for r in got:
+        assert r["posterior_mean"] == pytest.approx(h_mean[r["host"]])
+        n, g = counts[r["host"]]
+        above = d_mean[domain(r["host"])]
+        draws = np.random.default_rng(1).beta(g + t * above, n - g + t * (1 - above), 40_000)
+        assert (draws < r["bound"] - 0.0025).mean() <= 0.055 and (draws < r["bound"] + 0.0025).mean() >= 0.045
+
+
+def test_suffixes(spark):
+    hosts = ["a.b.gov.uk", "x.y.github.io", "github.io", "one", "", "q.w.e.r.k12.ca.us", "a.b.example"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    by_rule = {r["host"]: (r["domain"], r["suffix"]) for r in url_filters.with_domains(df).collect()}
+    assert by_rule["a.b.gov.uk"] == ("b.gov.uk", "gov.uk") and by_rule["x.y.github.io"] == ("github.io", "io") and by_rule["one"] == ("one", "one")
+    listed = spark.createDataFrame([("github.io",), ("io",), ("uk",), ("k12.ca.us",), ("io",)], "suffix string")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in url_filters.with_domains(df, listed).collect()}
+    assert len(got) == len(hosts)
+    assert got["x.y.github.io"] == ("y.github.io", "github.io") and got["github.io"] == ("github.io", "github.io")
+    assert got["q.w.e.r.k12.ca.us"] == ("r.k12.ca.us", "k12.ca.us") and got["a.b.example"] == ("b.example", "example")
+
+
+def test_urls_awkward(spark):
+    """Repeated rows, very long urls and clashing columns."""
+    rows = [(1, "http://a.com/" + "x" * 100_000, "a.com", 1), (1, "http://a.com/" + "x" * 100_000, "a.com", 1), (None, None, None, None), (2, "http://" + "h" * 50_000, "b", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path int")
+    got = url_filters.judge(pages, spark.createDataFrame([("a.com", True), (None, None)], "host string, good_page boolean")).collect()
+    assert sorted(len(r["path"]) for r in got) == [0, 0, 100_001, 100_001] and Counter(r["page_id"] for r in got) == Counter([1, 1, None, 2])
+
+
 # ---- 2: exact top-k ----
 
 
@@ -116,14 +182,45 @@ def test_top_k_awkward(spark):
     assert topk_search.top_k(v.limit(0), v.limit(0), 3).count() == 0
 
 
-def test_pivots_eliminate():
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(20, 16)) * 1000
-    rows = (centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 16)) * 20).astype(np.int64)
-    t = topk_search.PivotTable(np.array([0]), rows[:1], topk_search.pick_pivots(rows[:500].astype(float)), 10)
-    t.scan(np.arange(4000), rows)
-    best = sorted((-int(rows[0] @ r), i) for i, r in enumerate(rows) if i)[:10]
-    assert list(t.best[0][0]) == [i for _, i in best] and t.evaluated < 2000
+def test_pivots_eliminate(spark):
+    """Of the embeddings of sf0.1 less than half is evaluated, and the answers are exact."""
+    rows = topk_search.quantise(table(spark, "/root/testdata/sf0.1", "embeddings")).orderBy("vec_id").collect()
+    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows])
+    pivots = topk_search.PivotTable(v[:500])
+    entries = pivots.entry(v)
+    assert pivots.axes.shape[0] == topk_search.PIVOTS < v.shape[1]
+    assert (topk_search.bounds(entries[:50], entries) >= v[:50] @ v.T).all()
+    # the joint bound is no looser than that of any single pivot
+    x, p = v[:200].astype(float), v[:500].astype(float)[:5]
+    single = topk_search.PivotTable(p)
+    far = lambda a, b: np.sqrt(((a[:, None] - b) ** 2).sum(2))
+    low = np.abs(far(x, p)[:, None] - far(x, p)).max(2)
+    high = ((x**2).sum(1)[:, None] + (x**2).sum(1) - low**2) / 2
+    entry = single.entry(x)
+    assert (topk_search.bounds(entry, entry) <= high + 2 + 1e-5 * high.max()).all()
+    search, asked = topk_search.Search(ids, v, entries, 10), np.flatnonzero(ids % 100 == 0)
+    for q, best, scores in search.answer(ids[asked], v[asked], entries[asked], np.full(len(asked), -(2**63))):
+        want = sorted((-int(v[ids == q][0] @ r), i) for i, r in zip(ids, v) if i != q)[:10]
+        assert [(-s, i) for i, s in zip(best, scores)] == want
+    assert search.evaluated < 0.5 * len(asked) * len(ids)
+
+
+def test_top_k_in_groups(spark, monkeypatch):
+    """Several groups, dimensions and repeated ids; other columns are ignored."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 5 if i % 3 else 3)], "q", 1) for i in rng.integers(0, 400, 600)]
+    rows += [(0, [1.0] * 5, "q", 1), (100, [1.0] * 5, "q", 1), (200, [], "q", 1), (7, [], "q", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, place string, dim int")
+    v = topk_search.quantise(df)
+    for group in (1_000, 32_000_000):
+        monkeypatch.setattr(topk_search, "GROUP_BYTES", group)
+        got = sorted(map(tuple, topk_search.top_k(v, v.where("vec_id % 100 = 0"), 4).collect()))
+        want = []
+        for q in {r[0] for r in rows if r[0] % 100 == 0}:
+            x = min(([int(1024 * c) for c in r[1]] for r in rows if r[0] == q))
+            best = sorted((-sum(int(1024 * c) * b for c, b in zip(r[1], x)), r[0]) for r in rows if r[0] != q and len(r[1]) == len(x))[:4]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+        assert got == sorted(want)
 
 
 # ---- 3 and 7: tokens and packing ----
@@ -155,6 +252,16 @@ def test_encoder_on_random_text():
         assert enc.count(t) == len(ids) and enc.ids(t) == np.asarray(ids, "<u4").tobytes(), repr(t)
 
 
+def test_other_pre_tokenizers_are_refused(tmp_path):
+    tok = Tokenizer.from_file(PATH)
+    from tokenizers.pre_tokenizers import Whitespace
+
+    tok.pre_tokenizer = Whitespace()
+    tok.save(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError, match="pre-tokenizer"):
+        tokens.prove_whole(str(tmp_path / "other.json"))
+
+
 def check_packing(rows, source, capacity=2048):
     tok, want = Tokenizer.from_file(PATH), Counter()
     for i, t in source:
@@ -214,6 +321,18 @@ def test_local_search_stands_still():
                     assert not others
 
 
+def test_local_search_saves_sequences(spark):
+    """Documents of middle length: best fit alone needs more sequences than the operator gives."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, "a " * rng.randrange(500, 900)) for i in range(600)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, PATH).collect()
+    lengths = np.array([r["length"] for r in rows])
+    alone = packing.best_fit(lengths, 2048)
+    search = packing.LocalSearch(lengths, alone, 2048)
+    search.run()
+    assert len({r["sequence_id"] for r in rows}) < 0.98 * len(alone) and search.moves > 100
+
+
 # ---- 4: context-tree weighting ----
 
 
@@ -315,6 +434,10 @@ def test_ctw_awkward(spark, awkward):
     got = ctw.score_documents(awkward).collect()
     assert len(got) == len(AWKWARD) and all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
     assert {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+    for r in got:
+        want = -r["score"] * math.log2(10) / r["n_bytes"] if r["n_bytes"] else None
+        assert r["bits_per_byte"] == (want and pytest.approx(want))
+    assert {r["n_bytes"] for r in got if r["doc_id"] in (6, 7)} == {300_000, 20_000}
     assert ctw.score_documents(empty(spark)).count() == 0
 
 
@@ -384,6 +507,25 @@ def test_near_duplicates_awkward(spark, awkward):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("k"), "id")
+    facts = common.Scratch(spark, "t").save(rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("k <> 900"))
+    got = common.join_hot(rows, facts, "k", "n", 1000)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    assert Counter(map(tuple, got.select("k", "id", "top").collect())) == Counter((1 if i < 700 else i, i, 699 if i < 700 else i) for i in range(1000) if i != 900)
+
+
+def test_deduplicate_by_row(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(2, a), (5, b), (5, a), (None, a), (None, "only here one two"), (None, "only here one two"), (7, "same key"), (7, "same key"), (8, "same key"), (9, None), (9, None), (10, " "), (3, b + " end")]
+    docs = spark.createDataFrame([(i, t, "x", 1.0, "y", "z") for i, t in rows], "doc_id long, text string, th string, score double, row string, stays string")
+    got = minhash.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(2, a), (3, b + " end"), (None, "only here one two"), (7, "same key"), (9, None), (9, None), (10, " ")], key=repr)
+    assert minhash.deduplicate(docs.limit(0)).count() == 0
+
+
 def test_signatures_estimate_similarity():
     mh = minhash.CirculantMinHash()
     rng = np.random.default_rng(3)
@@ -437,6 +579,15 @@ def test_chat_rows_awkward(spark):
     assert chat.digests(chat.format_turns(chat.turns_of_table(df.limit(0)))).count() == 0
 
 
+def test_table_by_turn_with_other_columns(spark):
+    """Columns of other layouts beside the turns change nothing."""
+    df = spark.createDataFrame([(1, 0, "user", "a", "S", "I", "N", "O", "p", "r"), (1, 1, "assistant", "b", "S", "I", "N", "O", "p", "r")], "conv_id long, turn long, role string, text string, system string, instruction string, input string, output string, prompt string, response string")
+    for layout in (None, "rows"):
+        got = chat.turns_of_table(df, layout=layout).collect()
+        assert [(r["conv_id"], [tuple(t) for t in r["turns"]]) for r in got] == [(1, [("user", "a"), ("assistant", "b")])]
+    assert [tuple(t) for t in chat.turns_of_table(df, layout="prompt_response").first()["turns"]] == [("user", "p"), ("assistant", "r")]
+
+
 # ---- 8: decontamination ----
 
 
@@ -502,6 +653,23 @@ def test_blocks_of_a_benchmark_are_cut_at_once(spark, awkward, monkeypatch):
     assert {r["text"] for r in got.where("doc_id = 200").collect()} == {"p p p p p  q q q q q"}
 
 
+def test_phrases_are_small():
+    """Arrays of a benchmark stay within a few times its text; pickled as well."""
+    rng = random.Random(2)
+    items = [(i % 300 or None, " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(0, 300))).encode()) for i in range(1000)]
+    p = fm_index.Phrases(items, 10)
+    size = sum(len(t) for _, t in items)
+    assert p.nbytes() < 6 * size and len(pickle.dumps(p)) < 6 * size
+    windows = defaultdict(set)
+    for i, t in items:
+        w = t.split()
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add(i)
+    names = {v: k for k, v in p.vocab.items()}
+    got = {tuple(names[x] for x in row if x): set(p.items_of(k)) for k, row in enumerate(p.matrix)}
+    assert got == {k: v - {None} for k, v in windows.items()} and len(p.lengths) == len(windows)
+
+
 def test_fm_index_on_random_sequences():
     rng = np.random.default_rng(6)
     for sigma in (2, 3, 9):
@@ -535,12 +703,43 @@ def test_shards(spark, docs, awkward, monkeypatch):
 
 def test_matrix_law():
     counts, sizes = [30, 50, 20], [25, 25, 50]
-    seen = np.zeros((3, 3))
+    seen, squares = np.zeros((3, 3)), np.zeros((3, 3))
     for seed in range(3000):
         m = np.array(sharding.communication_matrix(counts, sizes, seed))
         assert (m.sum(1) == counts).all() and (m.sum(0) == sizes).all()
         seen += m
-    assert np.abs(seen / 3000 - np.outer(counts, sizes) / 100).max() < 0.2
+        squares += m * m
+    mean = np.outer(counts, sizes) / 100
+    assert np.abs(seen / 3000 - mean).max() < 0.2
+    # the variance of the hypergeometric law, too
+    want = mean * (1 - np.array(counts)[:, None] / 100) * (1 - np.array(sizes) / 100) * 100 / 99
+    assert np.abs((squares / 3000 - (seen / 3000) ** 2) / want - 1).max() < 0.15
+
+
+def test_whole_shuffle_is_uniform(spark):
+    """Over many seeds: where rows go, and how often two rows of one partition go together, as in a uniform permutation.
+
+    Dealing each partition evenly, in place of the drawn matrix, would part rows of one partition too often.
+    """
+    n, parts, shards, seeds = 24, 3, 3, 40
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(n)], "doc_id long, text string").repartitionByRange(parts, "doc_id")
+    path = common.Scratch(spark, "t").save(docs)
+    lies = {r["doc_id"]: r["p"] for r in path.select("doc_id", F.spark_partition_id().alias("p")).collect()}
+    assert len(set(lies.values())) > 1
+    cells, slots, together, pairs = np.zeros((n, shards)), np.zeros(n), 0, 0
+    for seed in range(seeds):
+        at = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shuffle_shards(path, shards, seed).collect()}
+        for i, (s, slot) in at.items():
+            cells[i, s] += 1
+            slots[i] += slot
+        same = [(i, j) for i in range(n) for j in range(i) if lies[i] == lies[j]]
+        pairs += len(same)
+        together += sum(at[i][0] == at[j][0] for i, j in same)
+    want = seeds / shards
+    chi = ((cells - want) ** 2 / want).sum()
+    assert chi < n * (shards - 1) + 5 * math.sqrt(2 * n * (shards - 1))
+    assert abs(together / pairs - (n / shards - 1) / (n - 1)) < 0.025
+    assert abs(slots.mean() / seeds - (n / shards - 1) / 2) < 1e-9 and np.abs(slots / seeds - 3.5).max() < 5 * 2.3 / math.sqrt(seeds)
 
 
 # ---- 10: quality ----
@@ -567,15 +766,55 @@ def test_quality_awkward(spark, awkward):
 
 
 def test_gradients_match_differences():
+    """Forward pass against loops over documents and passages, gradients against finite differences."""
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, quality.N_FEATURES)) for n in (1, 3, 5)]
-    y = np.array([0.0, 1.0, 1.0])
-    x, starts = np.concatenate(bags), np.array([0, 1, 4])
+    y, x, starts = np.array([0.0, 1.0, 1.0]), np.concatenate(bags), np.array([0, 1, 4])
     m = quality.AttentionMIL()
-    loss = lambda: -(y * np.log(m.score(x, starts)) + (1 - y) * np.log(1 - m.score(x, starts))).sum()
-    before = loss()
-    m.fit(bags, y, epochs=15, rate=0.02)
-    assert loss() < before
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    sig = lambda z: 1 / (1 + math.exp(-z))
+
+    def one(bag, p):
+        h = [np.tanh(passage @ p["W"] + p["b"]) for passage in bag]
+        e = [sum(p["w"][k] * math.tanh(a @ p["V"][:, k]) * sig(a @ p["U"][:, k]) for k in range(len(p["w"]))) for a in h]
+        weights = [math.exp(v - max(e)) for v in e]
+        z = sum(w * a for w, a in zip(weights, h)) / sum(weights)
+        return sig(z @ p["c"] + p["d"][0])
+
+    assert m.score(x, starts) == pytest.approx([one(b, m.p) for b in bags])
+    loss = lambda: -np.mean([math.log(one(b, m.p) if t else 1 - one(b, m.p)) for b, t in zip(bags, y)])
+    for name, grad in m.gradients(x, starts, y).items():
+        assert grad.shape == m.p[name].shape
+        for at in rng.integers(0, grad.size, 6):
+            flat, step = m.p[name].reshape(-1), 1e-5
+            held = flat[at]
+            flat[at] = held + step
+            up = loss()
+            flat[at] = held - step
+            down = loss()
+            flat[at] = held
+            assert grad.reshape(-1)[at] == pytest.approx((up - down) / (2 * step), rel=1e-4, abs=1e-8)
+
+
+def test_training_is_bounded(spark):
+    """Repeated keys and long texts: one row of a key, so many passages."""
+    docs = spark.createDataFrame([(i % 3, "word " * (5000 if i else 9)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, quality int")
+    seen = []
+    fit = quality.AttentionMIL.fit
+    quality.AttentionMIL.fit = lambda self, bags, y, **kw: seen.append([len(b) for b in bags]) or fit(self, bags, y, **kw)
+    try:
+        quality.train(docs, labels, passages=7)
+    finally:
+        quality.AttentionMIL.fit = fit
+    assert len(seen[0]) <= 3 and max(seen[0]) == 7
+
+
+def test_words_are_told_apart():
+    a, b, c = quality.word_rows([b"quality", b"Quality", b"quantity"])
+    assert (a == b).all() and a[0] != c[0] and (quality.word_rows([b"x" * 200]) >= 0).all()
+    bag = quality.encode_passages(b"one two three " * 40)
+    assert bag.shape == (3, quality.N_FEATURES) and bag[:, quality._N_PLAIN :].sum(1) == pytest.approx([3.0] * 3)
 
 
 # ---- pipeline ----
@@ -605,11 +844,24 @@ def test_pipeline(spark):
 
 
 def test_pipeline_awkward(spark, awkward):
+    """Columns named as the stages name theirs inside, upper case alike."""
     import corpus_pipeline as cp
 
-    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars", "row", "size", "data", "_part")
+    names = "score score1 _data _h _stays stays th k t c c0 rid top row0 spans spans0 label n first".split()
+    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars", "row", "size", F.col("data").alias("Data"), "_part", F.lit(1).alias("a `quoted` name"), *[F.lit(f"v{i}").alias(n) for i, n in enumerate(names)])
     for name, stage in cp.STAGES:
         for df in (docs, docs.limit(0)):
             got = stage(spark, df, SF)
             assert name == cp.STAGES[-1][0] or got.columns == df.columns
             got.collect()
+
+
+def test_pipeline_frees_what_stages_wrote(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows = cp.run(spark, SF).count()
+    root = common.Scratch(spark, "t").root.rsplit("/", 1)[0]
+    held = [p for p in os.listdir(root) if p.startswith(("keyfold-dedup", "keyfold-neardup", "keyfold-decontamination"))]
+    before = {p for p in held if os.listdir(f"{root}/{p}")}
+    cp.run(spark, SF).count()
+    assert rows and {p for p in os.listdir(root) if p.startswith("keyfold-dedup") and os.listdir(f"{root}/{p}")} <= before
