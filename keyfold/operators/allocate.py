@@ -18,17 +18,24 @@ from keyfold.functions.text import hash_bucket
 from keyfold.session import scratch_path, ship
 
 
-def _stream(df: DataFrame, run, ddl: str, *order) -> DataFrame:
+def _stream(df: DataFrame, run, ddl: str, *order, blocks: int = 1) -> DataFrame:
     ship(df.sparkSession)
-    return df.repartition(1).sortWithinPartitions(*order).mapInArrow(run, ddl)
+    dealt = df.repartition(1) if blocks == 1 else df.repartition(blocks, F.xxhash64("key"))
+    return dealt.sortWithinPartitions(*order).mapInArrow(run, ddl)
 
 
 def _emit(b: pa.RecordBatch, receivers: list[int]) -> pa.RecordBatch:
     return pa.record_batch([b.column(0), pa.array(receivers, pa.int32()), b.column(1)], names=["key", "receiver", "cost"])
 
 
-def lpt(tasks: DataFrame, receivers: int) -> DataFrame:
-    """``key, receiver, cost``: longest first, each to the least loaded receiver (ties: lowest number, then key)."""
+def lpt(tasks: DataFrame, receivers: int, blocks: int = 1) -> DataFrame:
+    """``key, receiver, cost``: longest first, each to the least loaded receiver (ties: lowest number, then key).
+
+    The greedy rule looks at all loads so far, so one worker streams the task
+    table. For very many keys ``blocks`` > 1 deals the tasks by hash to blocks
+    that are allocated side by side: in each block loads differ by one task's
+    cost at most, so over all by at most the blocks' largest costs together.
+    """
     kind = tasks.schema["key"].dataType.simpleString()
 
     def run(source) -> Iterator[pa.RecordBatch]:
@@ -41,7 +48,7 @@ def lpt(tasks: DataFrame, receivers: int) -> DataFrame:
                 out.append(i)
             yield _emit(b, out)
 
-    return _stream(tasks.select("key", F.col("cost").cast("bigint")), run, f"key {kind}, receiver int, cost bigint", F.desc("cost"), "key")
+    return _stream(tasks.select("key", F.col("cost").cast("bigint")), run, f"key {kind}, receiver int, cost bigint", F.desc("cost"), "key", blocks=blocks)
 
 
 def by_hash(tasks: DataFrame, receivers: int) -> DataFrame:

@@ -28,6 +28,12 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths).where("value <> ''")
 
 
+def memory(spark: SparkSession, data: str | bytes) -> DataFrame:
+    """``value``: the non-blank lines of a text held in memory; bytes are UTF-8."""
+    text = data.decode() if isinstance(data, bytes) else data
+    return spark.createDataFrame([(x,) for x in text.split("\n") if x], "value string")
+
+
 def project(df: DataFrame, sep: str, fields: Mapping[str, tuple[int, str]], permissive: bool = False) -> DataFrame:
     """Typed columns from the positions of a delimited line.
 

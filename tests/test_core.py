@@ -89,6 +89,10 @@ def test_two_phases_equal_one(spark):
 def test_lpt_and_ownership(spark):
     t = spark.createDataFrame([("a", 5), ("b", 4), ("c", 3), ("d", 3), ("e", 3)], "key string, cost bigint")
     assert sorted(r["load"] for r in allocate.loads_of(allocate.lpt(t, 2)).collect()) == [8, 10]
+    many = spark.range(5000).select(F.col("id").alias("key"), (F.col("id") % 37 + 1).alias("cost"))
+    blocked = allocate.lpt(many, 6, blocks=8)
+    loads = [r["load"] for r in allocate.loads_of(blocked).collect()]
+    assert blocked.select("key").distinct().count() == 5000 and max(loads) - min(loads) <= 8 * 37
     rates = tasks.ownership_rate(spark.createDataFrame([("t", "x", 2), ("t", "y", 1)], "key string, owner string, nb_values bigint"))
     assert sorted((r["owner"], r["rate"]) for r in rates.collect()) == [("x", 0.67), ("y", 0.33)]
 
@@ -149,6 +153,8 @@ def test_sources_and_sinks(spark, tmp_path):
     split = readers.round_robin(df.withColumn("n", F.monotonically_increasing_id()), 3, "n")
     assert sorted(r["count"] for r in split.groupBy("split").count().collect()) == [6, 7, 7]
     assert readers.parse_config(["// c", "a : b", "x : y : z", "no colon"]) == {"a": "b", "x": "y"}
+    held = readers.project(readers.memory(spark, "1;\u00e9\n\n2;x\n".encode()), ";", {"k": (0, "int"), "v": (1, "string")})
+    assert sorted(map(tuple, held.collect())) == [(1, "\u00e9"), (2, "x")] and readers.memory(spark, "").count() == 0
     assert readers.parse_addresses(["// c", "host 3", ""]) == [("host", 3)]
 
 
