@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from keyfold.session import shared_root, ship
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U64 = np.uint64
-#: Bits of a key filter: 8 MB, whatever the number of keys.
+#: Bits of a key filter: 8 MB at most, whatever the number of keys.
 FILTER_BITS = 1 << 26
 #: Documents of an Arrow batch.
 BATCH_ROWS = 2_500
@@ -129,11 +128,11 @@ def join_hot(rows: DataFrame, facts: DataFrame, on: str, n: str, total: int) ->
     An exchange would put all rows of a key into one task. Keys of more than
     ``total`` / HOT_KEYS rows are broadcast, where ``total`` is no less than the
     sum of ``n``, so there are fewer than HOT_KEYS; the rest is joined as usual.
-    ``facts`` is a written table.
+    ``facts`` is a written table, unless ``total`` is no more than HOT_ROWS.
     """
     most = max(HOT_ROWS, total // HOT_KEYS)
     hot = facts.where(F.col(n) > most)
-    if hot.isEmpty():
+    if total <= most or hot.isEmpty():
         return rows.join(facts, on)
     rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(facts.where(F.col(n) <= most), on)
     return rows.join(F.broadcast(hot), on).unionByName(rest)
@@ -176,32 +175,22 @@ def utf8(column: str = "text"):
     return F.col(column).cast("binary")
 
 
-def may_hold(keys: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test for long columns: false only where the value is surely none of ``keys``; null passes.
+def sift(df: DataFrame, value: Column, keys: DataFrame, column: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``value`` (a long) may be one of ``keys``, and those where it surely is none.
 
-    A Bloom filter of FILTER_BITS, set in parts of 4 KB on the executors and then
-    broadcast. It thins out the rows before an exact join and replaces none: the
-    more keys, the more rows pass, and beyond one key for two bits all do.
-    ``keys`` is a written table, read twice.
+    A bitmap of FILTER_BITS, set in parts of 4 KB on the executors, written and
+    then broadcast. It thins out the rows before an exact join and replaces
+    none: the more keys, the more rows pass, and beyond one key for two bits all
+    do. ``keys`` is a written table; columns of ``df`` may have any names.
     """
-    spark = keys.sparkSession
     if 2 * keys.count() > FILTER_BITS:
-        return lambda _: F.lit(True)
-    h = F.xxhash64(F.col(column).cast("long"))
-    places = F.explode(F.array(h.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(FILTER_BITS - 1))))
-    placed = keys.select(places.alias("at")).withColumn("at", F.col("at") + 1)
+        return df, df.limit(0)
+    place = lambda c: F.xxhash64(c.cast("long")).bitwiseAND(F.lit(FILTER_BITS - 1))
+    placed = keys.select((place(F.col(column)) + 1).alias("at")).distinct()
     parts = placed.select(F.bitmap_bucket_number("at").alias("part"), F.bitmap_bit_position("at").alias("bit")).repartition("part")
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for part, data in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # FILTER_BITS at most
-        bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(bytes(data), np.uint8)
-    held = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def test(hashes: pd.Series) -> pd.Series:
-        found, all_bits = hashes.to_numpy(np.int64).view(np.uint64), held.value
-        ok = np.ones(len(found), bool)
-        for at in (found & U64(FILTER_BITS - 1), (found >> U64(32)) & U64(FILTER_BITS - 1)):
-            ok &= (all_bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 > 0
-        return pd.Series(ok)
-
-    return lambda value: value.isNull() | test(F.xxhash64(value.cast("long")))
+    bits = scratch.save(parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")))  # FILTER_BITS at most
+    marked = df.select(F.struct("*").alias("row"), place(value).alias("at")).withColumn("part", F.shiftright("at", 15) + 1)
+    marked = marked.join(F.broadcast(bits), "part", "left")
+    byte = F.substring("bits", (F.shiftright("at", 3).bitwiseAND(F.lit(4095)) + 1).cast("int"), F.lit(1))
+    found = F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), F.col("at").bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return marked.where(found).select("row.*"), marked.where(~found).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_hot
+from .common import HOT_ROWS, Scratch, join_hot
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -20,9 +20,9 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = _least(both, scratch)
+        low = _least(both, 2 * mark[0], scratch)
         large = scratch.save(join_hot(both, low, "a", "n", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
-        low2 = _least(large, scratch)
+        low2 = _least(large, 2 * mark[0], scratch)
         small = join_hot(large, low2, "a", "n", 2 * mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low2.select("a", F.col("m").alias("b")))
         small = scratch.save(small.distinct())
         scratch.drop(now, large, low, low2)
@@ -32,9 +32,10 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def _least(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _least(edges: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     """``a, m, n``: of each node the smallest neighbour and the number of its edges."""
-    return scratch.save(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    return scratch.save(low) if total > HOT_ROWS else low
 
 
 def _mark(edges: DataFrame) -> tuple:

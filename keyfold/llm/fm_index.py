@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, batches, free_name, may_hold, only, quoted, ready, utf8
+from .common import LOWER, Scratch, batches, free_name, only, quoted, ready, sift, utf8
 
 #: Words of a shard (one longer document is a shard of its own), and every how many positions are sampled.
 SHARD_WORDS, SAMPLE = 1_500_000, 8
@@ -365,6 +365,12 @@ def clean_texts(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: st
     ready(spark)
     columns, schema = docs.columns, docs.schema
     at = columns.index(text)
+    plain = lambda df: df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])  # noqa: E731  names that any function takes
+
+    def put(b, new):
+        """A batch's columns with other texts."""
+        return pa.record_batch([pa.array(new, b.column(at).type) if i == at else b.column(i) for i in range(len(columns))], names=columns)
+
     blocks = _blocks(benchmark, "item_id", "text")
     if len(blocks) > 1:
         row, spans = free_name(columns, "row"), free_name(columns, "spans")
@@ -372,19 +378,18 @@ def clean_texts(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: st
         docs = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
         found = _found_by_row(docs.select(F.col(row).alias("row"), utf8(text).alias("data")), blocks, width)
         found = scratch.save(found.where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(spans)))
-        suspect = may_hold(found, row)(F.col(row))
+        held, clear = sift(docs, F.col(row), found, row, scratch)
 
         def cut(source):
             for b in source:
                 old, marks = b.column(at).to_pylist(), b.column(len(columns)).to_pylist()
                 new = [remove_word_spans(x.encode(), [(m["start"], m["end"]) for m in s]).decode() for x, s in zip(old, marks)]
-                part = b.select(columns)
-                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+                yield put(b, new)
 
         # whole texts are shuffled only where the row may have a span
-        held, names = docs.where(suspect), [quoted(c) for c in columns]
-        hit = held.join(found, row).select(*names, spans).mapInArrow(cut, schema)
-        return docs.where(~suspect).select(*names).unionByName(held.join(found, row, "left_anti").select(*names)).unionByName(hit)
+        names = [quoted(c) for c in columns]
+        hit = plain(held.join(found, row).select(*names, spans)).mapInArrow(cut, schema)
+        return clear.select(*names).unionByName(held.join(found, row, "left_anti").select(*names)).unionByName(hit)
     held = spark.sparkContext.broadcast(Phrases(blocks[0], width))  # bounded by BENCH_BYTES
 
     def run(source):
@@ -404,8 +409,7 @@ def clean_texts(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: st
                 new = b.column(at).slice(start, end - start).to_pylist()
                 for i, s in spans.items():
                     new[i - start] = remove_word_spans(texts[i], s).decode()
-                part = b.slice(start, end - start)
-                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+                yield put(b.slice(start, end - start), new)
                 start = end
 
-    return docs.mapInArrow(run, schema)
+    return plain(docs).mapInArrow(run, schema)

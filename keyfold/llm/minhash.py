@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, join_hot, may_hold, mix, only, store, utf8, words
+from .common import U64, Scratch, join_hot, mix, only, sift, store, utf8, words
 from .components import connected
 
 #: Coordinates, bands (of COORDS / BANDS rows) and the universe of the permutations.
@@ -316,7 +316,7 @@ def _decide(docs: DataFrame, width: int, percent: int, text: str, key: str, scra
     wanted = scratch.save(reps.join(candidates, "c").select("c", F.col("doc_id").alias("k"), F.col("th").alias("t"), "sig"))
     scratch.drop(reps, hubs)
     sigs, keys = wanted.select("c", "sig"), wanted.select("c", "k", "t")
-    again = slim.where("data is not null").withColumn("th", th).where(may_hold(wanted, "t")(F.col("th")))
+    again, _ = sift(slim.where("data is not null").withColumn("th", th), F.col("th"), wanted, "t", scratch)
     texts = scratch.save(again.join(keys, again["doc_id"].eqNullSafe(keys["k"]) & (again["th"] == keys["t"])).select("c", "data"))
     if not texts.groupBy("c").count().where("count > 1").isEmpty():  # rows that repeat key and text
         texts = scratch.save(texts.dropDuplicates(["c"]))
@@ -336,10 +336,24 @@ def _decide(docs: DataFrame, width: int, percent: int, text: str, key: str, scra
     comp_of = scratch.save(comp_of)
     scratch.drop(members, best, deg, links)
     open_ = scratch.save(_shape(comp_of.groupBy("bucket", "comp").agg(F.count("*").alias("n")), "bucket"))
+    merged = None if open_.isEmpty() else _between(comp_of, open_, sigs, texts, width, percent, total, scratch)
+
+    final = classes.join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("top", F.coalesce("comp", "c"))
+    if merged is not None:
+        final = final.join(merged.select(F.col("node").alias("top"), F.col("comp").alias("higher")), "top", "left").withColumn("top", F.coalesce("higher", "top"))
+    final = scratch.save(final.select("h1", "h2", "label", "top"))
+    scratch.drop(classes, comps, comp_of, open_, texts, wanted)
+    return rows, final
+
+
+def _between(comp_of: DataFrame, open_: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, percent: int, total: int, scratch: Scratch) -> DataFrame | None:
+    """``node, comp``: components that are one by links between members of the same band; None if there are none."""
     tied = join_hot(comp_of, open_, "bucket", "m", total).join(sigs, "c")
     least = math.floor(COORDS * percent / 100 - 6.5 * math.sqrt(COORDS * percent / 100 * (1 - percent / 100)))
     units = _against_main(tied, "bucket", SIG_BLOCK, SIG_BLOCK).select("bucket", "i", "j", "is_left", "c", "comp", "sig")
     maybe = scratch.save(units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare_signatures(least), "a long, b long"))
+    if maybe.isEmpty():
+        return None
 
     # 3: exact verification between the components of each cluster, in blocks
     clusters = scratch.save(connected(maybe, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("cluster")))
@@ -348,12 +362,8 @@ def _decide(docs: DataFrame, width: int, percent: int, text: str, key: str, scra
     blocks = _against_main(join_hot(inside, shape, "cluster", "m", total), "cluster", LEFT_BLOCK, RIGHT_BLOCK)
     blocks = blocks.join(texts, "c").select("cluster", "i", "j", "is_left", "c", "comp", "data").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     more = scratch.save(blocks.mapInArrow(_verify_blocks(width, percent), "a long, b long"))
-    merged = connected(more, scratch)
-
-    final = classes.join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").withColumn("top", F.coalesce("top", "comp"))
-    final = scratch.save(final.select("h1", "h2", "label", "top"))
-    scratch.drop(classes, comps, comp_of, open_, maybe, clusters, inside, shape, more, texts, wanted)
-    return rows, final
+    scratch.drop(maybe, clusters, inside, shape)
+    return connected(more, scratch)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -402,8 +412,8 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, text: str =
     decided = scratch.save(several.groupBy(F.col("doc_id").alias("k"), F.col("th").alias("t")).agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays"))
     scratch.drop(rows, final, placed, groups)
     packed = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("k"), F.xxhash64(utf8(text)).alias("t"))
-    suspect = may_hold(decided, "t")(F.col("t"))
+    suspect, clear = sift(packed, F.col("t"), decided, "t", scratch)
     # whole texts are shuffled only where the text may be one of those
-    held = packed.where(suspect).join(decided.select(F.col("k").alias("dk"), F.col("t").alias("dt"), "stays"), F.col("k").eqNullSafe(F.col("dk")) & (F.col("t") == F.col("dt")), "left")
+    held = suspect.join(decided.select(F.col("k").alias("dk"), F.col("t").alias("dt"), "stays"), F.col("k").eqNullSafe(F.col("dk")) & (F.col("t") == F.col("dt")), "left")
     rest = held.where(F.coalesce("stays", F.lit(True))).dropDuplicates(["k", "t"])
-    return packed.where(~suspect).select("row.*").unionByName(rest.select("row.*"))
+    return clear.select("row.*").unionByName(rest.select("row.*"))
