@@ -221,7 +221,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     rest = ("vec_id", "v", "entry")
     every = F.explode(F.sequence(F.lit(0), F.lit(max(1, n_groups) - 1))).alias("g")
     both = table.select("dim", group.alias("g"), F.lit(False).alias("is_query"), *rest, F.lit(0).cast("long").alias("least")).unionByName(asked.select("dim", every, F.lit(True).alias("is_query"), *rest, "least"))
-    dealt = both.repartition(max(1, n_groups), "dim", "g").sortWithinPartitions("dim", "g", "is_query")
+    # one group to a partition, not by a hash that puts several into one
+    dealt = both.repartitionById(max(1, n_groups), F.pmod(F.col("g") + F.col("dim"), F.lit(max(1, n_groups))).cast("int")).sortWithinPartitions("dim", "g", "is_query")
     found = dealt.mapInArrow(_scan(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
