@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_hot
 
 #: Second labels under which countries register names (with a country's two-letter label: a suffix of two labels).
 SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "id", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch")
@@ -104,24 +104,28 @@ def shrunk(good: Column, n: Column, above: Column, strength: float) -> Column:
     return (good + strength * above) / (n + strength)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, and not wherever a loop inside the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lower_quantile(a: Column, b: Column, quantile: float = QUANTILE) -> Column:
     """The lower quantile of the beta law with parameters a and b, to a cell of a grid.
 
     The density is summed at the middles of CELLS cells; the result is the lower
     end of the first cell up to whose end at least ``quantile`` of the sum lies.
     """
-    cells = F.sequence(F.lit(0), F.lit(CELLS - 1))
-    log = F.transform(cells, lambda i: (a - 1) * F.log((i + 0.5) / CELLS) + (b - 1) * F.log(1 - (i + 0.5) / CELLS))
+    middles = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: (i + 0.5) / CELLS)
+    log = F.transform(middles, lambda x: (a - 1) * F.log(x) + (b - 1) * F.log(1 - x))
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("below"))
 
-    def density(held: Column) -> Column:
-        top = F.array_max(held)
-        w = F.transform(held, lambda x: F.exp(x - top))
-        limit = quantile * F.aggregate(w, F.lit(0.0), lambda s, x: s + x)
+    def below(w: Column, limit: Column) -> Column:
         return F.aggregate(w, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["below"] + F.when(s["sum"] + x < limit, 1).otherwise(0)).alias("below")), lambda s: s["below"] / CELLS)
 
-    # one element, so that the logarithms are computed once
-    return F.element_at(F.transform(F.array(log), density), 1)
+    def weighed(w: Column) -> Column:
+        return _let(quantile * F.aggregate(w, F.lit(0.0), lambda s, x: s + x), lambda limit: below(w, limit))
+
+    return _let(log, lambda held: _let(F.array_max(held), lambda top: _let(F.transform(held, lambda x: F.exp(x - top)), weighed)))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, quantile: float = QUANTILE, threshold: float = 0.5, suffixes: DataFrame | None = None) -> DataFrame:
@@ -132,12 +136,14 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, quantile: float =
     that of all. Null urls have an empty host and path and are judged like other
     hosts. Repeated rows are kept, other columns ignored, an empty table stays
     empty. Counts by host are written once; they join back by host, domain and
-    suffix, one row for each host, and a hot host is split by the adaptive join.
+    suffix, one row for each host. Hosts of very many pages are broadcast to
+    their pages (``join_hot``).
     """
+    scratch = Scratch(pages.sparkSession, "hosts")
     host, path = split_url(F.col("url"))
     rule, said = match_rule(F.col("host"), F.col("path"), rules)
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    counts = Scratch(pages.sparkSession, "hosts").save(host_counts(labelled, suffixes))
+    counts = scratch.save(host_counts(labelled, suffixes))
     n, good = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     everyone = (good + 1) / (n + 2)
     total = (F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -149,12 +155,13 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, quantile: float =
     by_domain = by_domain.select("domain", "suffix", shrunk(F.col("good"), F.col("n"), F.col("s_mean"), d_strength).alias("d_mean"))
     h_strength = strength_of(counts.join(by_domain.drop("suffix"), "domain"), "d_mean")
     # one row for each distinct host, so that the pages are joined once
-    hosts = with_domains(parsed.select("host").distinct(), suffixes)
+    hosts = with_domains(parsed.groupBy("host").agg(F.count("*").alias("pages")), suffixes)
     hosts = hosts.join(by_suffix, "suffix", "left").join(by_domain.drop("suffix"), "domain", "left").join(counts.select("host", "n", "good"), "host", "left")
     above = F.coalesce("d_mean", "s_mean", F.lit(everyone))
     n, good = F.coalesce("n", F.lit(0)), F.coalesce("good", F.lit(0))
-    hosts = hosts.select("host", shrunk(good, n, above, h_strength).alias("posterior_mean"), (good + h_strength * above).alias("a"), (n - good + h_strength * (1 - above)).alias("b"))
-    hosts = hosts.select("host", "posterior_mean", lower_quantile(F.col("a"), F.col("b"), quantile).alias("bound"))
-    judged = parsed.join(hosts, "host", "left")
+    hosts = hosts.select("host", "pages", shrunk(good, n, above, h_strength).alias("posterior_mean"), (good + h_strength * above).alias("a"), (n - good + h_strength * (1 - above)).alias("b"))
+    hosts = scratch.save(hosts.select("host", "pages", "posterior_mean", lower_quantile(F.col("a"), F.col("b"), quantile).alias("bound")))
+    total = hosts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    judged = join_hot(parsed, hosts, "host", "pages", total)
     verdict = F.coalesce(said, F.when(F.col("bound") >= threshold, "allow").otherwise("block"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "posterior_mean", "bound")
